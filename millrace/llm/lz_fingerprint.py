@@ -214,9 +214,9 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     cuts = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
     cuts = sorted({int(c) for c in cuts})
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    lows = docs.select(F.coalesce(part, F.lit(0)).alias("part"), F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min.item())).alias("doc_id")) if len(cuts) < 500 else None
+    lows = docs.select(F.coalesce(part, F.lit(0)).alias("part"), F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min))).alias("doc_id")) if len(cuts) < 500 else None
     if lows is None:
-        lows = docs.select("doc_id", F.lit(None).cast("string").alias("text")).mapInArrow(_deal(cuts, {}), "part int, ghost byte, doc_id long, text string").select("part", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min.item())).alias("doc_id"))
+        lows = docs.select("doc_id", F.lit(None).cast("string").alias("text")).mapInArrow(_deal(cuts, {}), "part int, ghost byte, doc_id long, text string").select("part", F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min))).alias("doc_id"))
     firsts = sorted((r[0], r[1]) for r in lows.where("part >= 0").groupBy("part").agg(F.min("doc_id")).collect())
     before = {p: (low, firsts[i - 1][0]) for i, (p, low) in enumerate(firsts)}
     dealt = docs.mapInArrow(_deal(cuts, before), "part int, ghost byte, doc_id long, text string")
