@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_automaton, lz_fingerprint, url_rules
+from millrace.llm import best_fit, bpe_automaton, kd_shards, lz_fingerprint, url_rules
 from millrace.llm.common import documents
 from millrace.session import importable
 
@@ -19,6 +19,10 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard(documents(spark, sf_dir))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), BLOCK, ALLOW)
@@ -32,6 +36,10 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str, tokenizer_file: str | No
     return bpe_automaton.encode_decode(documents(spark, sf_dir), tokenizer_file)
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
