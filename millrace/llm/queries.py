@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import best_fit, bpe_automaton, kd_shards, lz_fingerprint, url_rules
+from millrace.llm import best_fit, bpe_automaton, kd_shards, language_id, lz_fingerprint, personal_data, url_rules
 from millrace.llm.common import documents
 from millrace.session import importable
 
@@ -28,6 +28,14 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), BLOCK, ALLOW)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.detect(documents(spark, sf_dir))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
     if tokenizer_file is None:
         import public_tokenizers
