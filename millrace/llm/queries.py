@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import best_fit, bpe_automaton, kd_shards, language_id, lz_fingerprint, personal_data, url_rules
+from millrace.llm import best_fit, bpe_automaton, kd_shards, language_id, lz_fingerprint, personal_data, rotated_codes, url_rules
 from millrace.llm.common import documents
 from millrace.session import importable
 
@@ -44,6 +44,11 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str, tokenizer_file: str | No
     return bpe_automaton.encode_decode(documents(spark, sf_dir), tokenizer_file)
 
 
+def op7_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return rotated_codes.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(documents(spark, sf_dir))
 
@@ -53,7 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3}
+    return {"op3_url_rules": OP3, "op7_rotated_codes": OP7}
 
 
 OP3 = """
@@ -71,3 +76,16 @@ hit AS (
   FROM cut c LEFT JOIN rules r ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path))
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM hit WHERE k = 1
 """
+
+OP7 = """
+WITH rows AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]), (a, b) -> a + b) AS score
+  FROM rows q JOIN rows c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
