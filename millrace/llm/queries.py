@@ -79,12 +79,12 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 
 OP7 = """
 WITH rows AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_reduce(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]), (a, b) -> a + b) AS score
+         list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
   FROM rows q JOIN rows c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
