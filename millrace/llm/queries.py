@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import best_fit, bpe_automaton, kd_shards, language_id, lz_fingerprint, personal_data, rotated_codes, url_rules
+from millrace.llm import best_fit, bottom_k, bpe_automaton, kd_shards, language_id, lz_fingerprint, personal_data, rotated_codes, url_rules
 from millrace.llm.common import documents
 from millrace.session import importable
 
@@ -53,12 +53,16 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(documents(spark, sf_dir))
 
 
+def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3, "op7_rotated_codes": OP7}
+    return {"op3_url_rules": OP3, "op7_rotated_codes": OP7, "op10_bottom_k": OP10}
 
 
 OP3 = """
@@ -89,3 +93,19 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+OP10 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b AS a, r.c FROM reach r JOIN edges e ON e.a = r.a WHERE r.c < e.b),
+low AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, low.c AS component_id, low.c = d.doc_id AS kept
+FROM documents d JOIN low ON low.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
