@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import best_fit, bottom_k, bpe_automaton, kd_shards, language_id, lz_fingerprint, personal_data, rotated_codes, url_rules
+from millrace.llm import best_fit, bottom_k, bpe_automaton, interpolated_lm, kd_shards, language_id, lz_fingerprint, personal_data, rotated_codes, url_rules
 from millrace.llm.common import documents
 from millrace.session import importable
 
@@ -49,6 +49,10 @@ def op7_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(documents(spark, sf_dir))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(documents(spark, sf_dir))
 
