@@ -16,7 +16,7 @@ link between different texts that would join components is lost, and hot groups
 Cases: A-Z are lower-cased; words are runs without ASCII white space; with fewer than five words the whole
 sequence is the one shingle; without words (or null text) the set is empty and linked with nothing. Rows are
 nodes: repeated rows link to each other and share the smallest doc_id; a row with null doc_id takes part, and has a
-null component_id only if nothing it reaches has an id. An empty table gives an empty result; extra columns are
+null component_id (and is kept) only if nothing it reaches has an id. An empty table gives an empty result; extra columns are
 not read.
 """
 
@@ -208,4 +208,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = cut(named.join(least, "comp").select(*key, "class_id", "component_id"), "named")
     out = rows.drop("sketch").join(named, key, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "class_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents that stay: of each component the one with the smallest doc_id; same columns.
+
+    Of rows that repeat doc_id and text one stays; rows with null doc_id all stay.
+    """
+    found = cut(near_duplicates(docs).select("doc_id", "kept"), "kept")
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionAll(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))

@@ -32,6 +32,8 @@ from millrace.llm.common import columns, crc_mod
 DOCS_PER_LANGUAGE, MAX_DOCS, WORDS_PER_DOC = 400, 20_000, 100
 WINDOW, HIDDEN, EPOCHS, BATCH, RATE = 32, 16, 3, 256, 0.01
 CACHE = 400_000
+#: Below this mean probability a document's language counts as not told.
+MIN_SCORE = 0.3
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -203,6 +205,11 @@ def _reader(key: str, model: BiGRU) -> Reader:
     return _readers[key]
 
 
+def _send(docs: DataFrame, model: BiGRU) -> tuple:
+    key = hashlib.sha256(repr(model.labels).encode() + b"".join(v.tobytes() for _, v in sorted(model.p.items()))).hexdigest()
+    return key, docs.sparkSession.sparkContext.broadcast(model)
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
@@ -239,8 +246,7 @@ def predict(docs: DataFrame, model: BiGRU | None, folds: int = 5) -> DataFrame:
     docs = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"))
     if model is None:
         return docs.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    key = hashlib.sha256(repr(model.labels).encode() + b"".join(v.tobytes() for _, v in sorted(model.p.items()))).hexdigest()
+    key, sent = _send(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(key, sent.value)
@@ -256,5 +262,27 @@ def predict(docs: DataFrame, model: BiGRU | None, folds: int = 5) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
+def keep_identified(docs: DataFrame, model: BiGRU | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose language the model can tell (not ``und``, score at least ``min_score``), lang set to it; same columns.
+
+    Without a model nothing is rejected.
+    """
+    if model is None:
+        return docs
+    key, sent = _send(docs, model)
+    at = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(key, sent.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                some = b.slice(lo, 256)
+                labels, scores = reader.texts(some.column(at[0]).to_pylist())
+                some = some.set_column(at[1], "lang", pa.array(labels, pa.string()))
+                yield some.filter(pa.array([k != "und" and s >= min_score for k, s in zip(labels, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))

@@ -129,7 +129,7 @@ def render(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
 
-FOUND = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<kind:string,start:int,stop:int,role:string,instance:string,patterns:array<string>>>"
+FOUND = "uid long, doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<kind:string,start:int,stop:int,role:string,instance:string,patterns:array<string>>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = f"{k}:{' '.join(text[s:e].lower().split())}" if role != "other" else ""
                 rows.append({"kind": k, "start": s, "stop": e, "role": role, "instance": value[:300], "patterns": _before(text, s)})
             seen.append(rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(seen, kind)], ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(seen, kind)], ["uid", "doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"])
 
 
 def _confidences(edges: DataFrame) -> DataFrame:
@@ -168,9 +168,9 @@ def _confidences(edges: DataFrame) -> DataFrame:
     return scored.select("pattern", "kind", "confidence")
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added of each row of (doc_id, text)."""
-    docs = columns(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _extract(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row: counts, base spans and a hash of the text, by uid; and the added spans of a uid, sorted by kind and start."""
+    docs = columns(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     found = cut(docs.mapInArrow(_find, FOUND), "found")
     seen = found.select("uid", F.explode("seen").alias("s")).select("uid", "s.*")
     edges = seen.select("kind", "role", F.when(F.col("role") != "other", F.col("instance")).alias("instance"), F.explode("patterns").alias("pattern"))
@@ -178,17 +178,54 @@ def detect(docs: DataFrame) -> DataFrame:
     sure = _confidences(edges).where(F.col("confidence") >= CONFIDENT).select("pattern", "kind")
     loose = seen.where("role = 'loose'").select("uid", "kind", "start", "stop", F.explode("patterns").alias("pattern"))
     new = loose.join(sure, ["pattern", "kind"], "left_semi").select("uid", "kind", "start", "stop").distinct()
-    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    new = new.groupBy("uid").agg(F.collect_list(F.struct(order.alias("o"), "start", "stop", "kind")).alias("new"))
-    base = F.filter(F.split("base", ","), lambda x: x != "")
-    base = F.transform(base, lambda x: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.split(x, ":")[0]).alias("o"), F.split(x, ":")[1].cast("int").alias("start"), F.split(x, ":")[2].cast("int").alias("stop"), F.split(x, ":")[0].alias("kind")))
-    every = F.array_sort(F.when(F.col("new").isNull(), base).otherwise(F.concat(base, "new")))
-    text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    return (
-        found.drop("seen")
-        .join(new, "uid", "left")
-        .select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), text.alias("spans"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("added"))
-    )
+    return found.drop("seen"), new.groupBy("uid").agg(F.collect_list(F.struct(_order(F.col("kind")).alias("o"), "start", "stop", "kind")).alias("new"))
+
+
+def _order(kind: F.Column) -> F.Column:
+    return F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
+
+
+def _text(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added of each row of (doc_id, text)."""
+    found, new = _extract(docs)
+    parts = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.split(x, ":"))
+    base = F.transform(parts, lambda x: F.struct(_order(x[0]).alias("o"), x[1].cast("int").alias("start"), x[2].cast("int").alias("stop"), x[0].alias("kind")))
+    every = F.when(F.col("new").isNull(), base).otherwise(F.concat(base, "new"))
+    return found.join(new, "uid", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), _text(every).alias("spans"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("added"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with every span, base or added, masked by its kind, and n_chars to match; same columns.
+
+    Base spans are found again where the text is; only documents with added spans (few) are joined, by doc_id and text hash.
+    """
+    found, new = _extract(docs)
+    added = cut(found.join(new, "uid").select("doc_id", "h", _text(F.col("new")).alias("__new")).distinct(), "added")
+    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    small = added.count() <= 100_000
+    key = F.col("__a").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__b") == F.col("__h"))
+    added = added.select(F.col("doc_id").alias("__a"), F.col("h").alias("__b"), "__new")
+    joined = hashed.join(F.broadcast(added) if small else added, key, "left").select(*docs.columns, "__new")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, last = names.index("text"), names.index("n_chars"), len(names)
+        for b in batches:
+            texts, sizes = [], []
+            for cell, size, more in zip(b.column(at), b.column(n), b.column(last), strict=True):
+                text = cell.as_py()
+                spans = render(base_spans(text)) if text else ""
+                masked = mask(text, ",".join(filter(None, (spans, more.as_py())))) if text and (spans or more.is_valid) else text
+                texts.append(masked)
+                sizes.append(len(masked) if masked is not text else size.as_py())
+            some = b.select(names).set_column(at, "text", pa.array(texts, pa.string()))
+            yield some.set_column(n, "n_chars", pa.array(sizes, pa.int64()))
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def mask(text: str, spans: str) -> str:
