@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -36,3 +37,12 @@ def importable(spark: SparkSession) -> None:
     have = ":".join(paths).split(":")
     if ROOT not in have:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset (local runs, tests) a temporary one of our own."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(d)
+    return d
