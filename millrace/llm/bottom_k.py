@@ -10,8 +10,9 @@ documents share drop out of the lists of all but near copies.
 Lists never emit all their pairs. In ``STARS`` rounds each list pairs its members with one pivot; the union sketch
 (the K smallest values of both) estimates each pair's similarity and filters those out of reach; what is left is
 verified on full sets; links join into components. A list whose members all are in one component is done. For
-lists that still hold several components a last, complete round pairs members of different components only, so no
-link between different texts that would join components is lost, and hot groups cost their size, not its square.
+lists that still hold several components a last, complete round pairs members of different components only, after
+setting aside the classes that too few of the others' shingles reach to be linked with anything in the list. So no
+link between different texts that would join components is lost, and hot groups do not cost their square.
 
 Cases: A-Z are lower-cased; words are runs without ASCII white space; with fewer than five words the whole
 sequence is the one shingle; without words (or null text) the set is empty and linked with nothing. Rows are
@@ -135,23 +136,28 @@ class Verifier:
         reach = SIMILARITY / 100 - 5 * F.sqrt(F.lit(SIMILARITY * (100 - SIMILARITY)) / 10_000 / k)
         return p.where(F.size(F.array_intersect("both", "u")) / k >= reach).select("a", "b")
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """c, values of every class in a pair."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        keys = cut(ends.join(self.classes.select("c", "doc_id", "n", "h1", "h2"), "c"), "ends")
+    def prepare(self, members: DataFrame) -> None:
+        """Read the full sets of all listed classes (c) once: c, values."""
+        keys = cut(members.join(self.classes.select("c", "doc_id", "n", "h1", "h2"), "c"), "members")
         ids = keys.select(F.col("doc_id").alias("id")).distinct()
         if keys.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
         full = texts.mapInArrow(_full, "n long, h1 long, h2 long, values array<long>")
-        return full.join(keys, ["n", "h1", "h2"]).groupBy("c").agg(F.first("values").alias("values"))
+        self.full = cut(full.join(keys, ["n", "h1", "h2"]).groupBy("c").agg(F.first("values").alias("values")), "sets")
+
+    def common(self, members: DataFrame) -> DataFrame:
+        """c, common: how many of a class's shingles any other of these classes has; no overlap can be larger."""
+        own = self.full.join(members, "c", "left_semi").select("c", F.explode("values").alias("value"))
+        shared = own.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value")
+        return own.join(shared, "value").groupBy("c").agg(F.count("*").alias("common"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """a, b, shared of the pairs that are links."""
         near = cut(self.estimate(pairs), "near")
         if near.isEmpty():
             return near.select("a", "b", F.lit(0).alias("shared"))
-        s = cut(self.sets(near), "sets")
+        s = self.full
         p = near.join(s.select(F.col("c").alias("b"), F.col("values").alias("vb")), "b").join(s.select(F.col("c").alias("a"), F.col("values").alias("va")), "a")
         p = p.select("a", "b", (F.size("va") + F.size("vb")).alias("total"), F.size(F.array_intersect("va", "vb")).alias("shared"))
         return cut(p.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared"))).select("a", "b", "shared"), "links")
@@ -161,10 +167,22 @@ def _within(x: str, y: str) -> F.Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
 
 
+def _linkable(listed: DataFrame, verifier: Verifier) -> DataFrame:
+    """The rows of open lists that can still be linked: similarity s needs an overlap of s / (1 + s) of both sizes,
+    and a class's overlap with any other is at most its ``common``. Nothing that could be a link is lost."""
+    common = verifier.common(listed.select("c").distinct())
+    least = listed.groupBy("value").agg(F.min("n").alias("least"))
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILARITY / 100))
+    able = listed.join(common, "c").join(least, "value").where((100 + SIMILARITY) * F.col("common") >= SIMILARITY * (F.col("n") + other))
+    mixed = able.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
+    return able.join(mixed, "value", "left_semi").select("value", "c", "n", "comp")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """c, comp of every class that is linked with another."""
     lists = cut(postings(classes), "lists")
     verifier = Verifier(docs, classes)
+    verifier.prepare(lists.select("c").distinct())
     links = tested = None
     comps = None
     for turn in range(STARS + 1):
@@ -177,7 +195,8 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             pivots = open_.select("value", pivot["c"].alias("p"), pivot["n"].alias("pn"), pivot["comp"].alias("pc"))
             met = at.join(pivots, "value").where((F.col("comp") != F.col("pc")) & _within("n", "pn")).select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
         else:
-            left = at.join(open_.select("value"), "value").select("value", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
+            rest = cut(_linkable(at.join(open_.select("value"), "value"), verifier), "rest")
+            left = rest.select("value", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
             right = left.select("value", F.col("a").alias("b"), F.col("an").alias("bn"), F.col("ac").alias("bc"))
             met = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _within("an", "bn")).select("a", "b")
         met = met.distinct()
