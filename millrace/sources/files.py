@@ -38,9 +38,10 @@ def json_lines(lines: DataFrame, schema: str, order: str = "ord", line: str = "v
     last = parsed.agg(F.max(order).alias("__last"))
     parsed = parsed.crossJoin(F.broadcast(last)).withColumn("__bad", F.col("__v").isNull())
     inner = F.col("__bad") & (F.col(order) < F.col("__last"))
-    checked = parsed.withColumn("__ok", F.when(inner, F.raise_error(F.concat(F.lit("corrupt line "), F.col(order).cast("string"))).cast("boolean")).otherwise(F.lit(True))).where("__ok")
-    rows = checked.where("NOT __bad").select(order, F.from_json(line, schema).alias("r")).select(order, "r.*")
-    return rows, checked.where("__bad").select(order, line)
+    fail = F.raise_error(F.concat(F.lit("corrupt line "), F.col(order).cast("string"))).cast("boolean")
+    # one expression decides and fails, so that no optimised filter can skip the failure
+    rows = parsed.where(F.when(inner, fail).otherwise(~F.col("__bad"))).select(order, F.from_json(line, schema).alias("r")).select(order, "r.*")
+    return rows, parsed.where(F.when(inner, fail).otherwise(F.col("__bad"))).select(order, line)
 
 
 def hashed_fallback(declared: DataFrame, files: DataFrame) -> DataFrame:

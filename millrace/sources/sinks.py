@@ -24,8 +24,9 @@ def new_rows(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     old = existing.select(F.col(key), F.sha2(F.to_json(F.struct(*sorted(body)), {"ignoreNullFields": "false"}), 256).alias("__old"))
     j = fresh.join(old, key, "left")
     conflict = (F.col("__k") > 1) | (F.col("__old").isNotNull() & (F.col("__old") != F.col("__h")))
-    j = j.withColumn("__ok", F.when(conflict, F.raise_error(F.concat(F.lit("conflicting row for key "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True)))
-    return j.where("__ok AND __old IS NULL AND __n = 1").select(incoming.columns)
+    fail = F.raise_error(F.concat(F.lit("conflicting row for key "), F.col(key).cast("string"))).cast("boolean")
+    # one expression decides and fails, so that no optimised filter can skip the failure
+    return j.where(F.when(conflict, fail).otherwise(F.col("__old").isNull() & (F.col("__n") == 1))).select(incoming.columns)
 
 
 def publish(spark: SparkSession, path: str, manifest: dict, **tables: DataFrame) -> None:
