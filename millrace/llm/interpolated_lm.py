@@ -19,7 +19,6 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import columns, crc_mod, cut, mix64, partitions
 
-CHUNK_TOKENS, ROUNDS, FOLDS = 1_500_000, 60, 10
+CHUNK_TOKENS, ROUNDS, FOLDS = 700_000, 60, 10
 START, END = b"\n<start>", b"\n<end>"
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _UPPER = bytes(range(65, 91))
@@ -41,6 +40,16 @@ PIECE = "chunk long, bucket int, kind string, payload binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def squeeze(x) -> bytes:
+    """Any of our own structures, pickled and compressed."""
+    raw = pickle.dumps(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes):
+    return pickle.loads(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
+
+
 class _Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -63,11 +72,11 @@ def unpack_keys(width: int, raw: bytes) -> np.ndarray:
 def pack_counts(c: np.ndarray) -> bytes:
     """Counts as one byte each, large ones apart, compressed."""
     large = np.nonzero(c >= 255)[0]
-    return zlib.compress(pickle.dumps((np.minimum(c, 255).astype(np.uint8), large.astype(np.uint32), c[large].astype(np.int64))), 1)
+    return squeeze((np.minimum(c, 255).astype(np.uint8), large.astype(np.uint32), c[large].astype(np.int64)))
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    small, at, values = pickle.loads(zlib.decompress(raw))
+    small, at, values = unsqueeze(raw)
     out = small.astype(np.int64)
     out[at] = values
     return out
@@ -106,34 +115,37 @@ class Chunk:
 
 
 class Grams:
-    """The distinct n-grams of a chunk in key order; built alike before sending and after the counts return."""
+    """The distinct bigrams of a chunk, from one sort of its bigram codes."""
 
     def __init__(self, c: dict):
         self.c = c
         cur = c["tokens"].astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(c["lengths"])[:-1]])
+        self.starts = np.concatenate([[0], np.cumsum(c["lengths"])[:-1]])
         prev = np.empty_like(cur)
         prev[1:] = cur[:-1]
-        prev[starts] = 0
-        self.starts, v = starts, len(c["hashes"])
-        self.codes = prev * v + cur
-        self.distinct = np.unique(self.codes)
-        self.prev, self.cur = self.distinct // v, self.distinct % v
-        h = c["hashes"]
+        prev[self.starts] = 0
+        v = len(c["hashes"])
+        codes = prev * v + cur
+        del cur, prev
+        self.order = np.argsort(codes)
+        codes = codes[self.order]
+        self.first = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
+        self.counts = np.diff(self.first, append=len(codes))
+        self.prev, self.cur = np.divmod(codes[self.first], v)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Orders and sorted keys of the words and of the distinct bigrams; alike before sending and on return."""
+        h = self.c["hashes"]
         with np.errstate(over="ignore"):
-            keys = mix64(h[self.prev] * _P + mix64(h[self.cur] * _Q)) >> np.uint64(8)
-        self.order2 = np.argsort(keys)
-        self.keys2 = keys[self.order2]
-        self.order1 = np.argsort(h)
-        self.keys1 = h[self.order1]
+            two = mix64(h[self.prev] * _P + mix64(h * _Q)[self.cur]) >> np.uint64(8)
+        order1, order2 = np.argsort(h), np.argsort(two)
+        return order1, h[order1], order2, two[order2]
 
     def training(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the distinct bigrams, and of the words (as tokens), in local order."""
+        """Training counts of the words (as tokens) and of the distinct bigrams."""
         inside = np.repeat(~self.c["held"], self.c["lengths"])
-        codes, n = np.unique(self.codes[inside], return_counts=True)
-        two = np.zeros(len(self.distinct), np.int64)
-        two[np.searchsorted(self.distinct, codes)] = n
-        return two, np.bincount(self.c["tokens"][inside], minlength=len(self.c["hashes"]))
+        two = np.add.reduceat(inside[self.order].astype(np.int64), self.first)
+        return np.bincount(self.c["tokens"][inside], minlength=len(self.c["hashes"])), two
 
 
 def cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -153,11 +165,12 @@ def _read(emit: str, buckets: int):
     def flush(chunk: Chunk, number: int) -> Iterator[pa.RecordBatch]:
         c = chunk.finish()
         if emit == "text":
-            yield _pieces([(number, -1, "text", zlib.compress(pickle.dumps(c), 1))])
+            yield _pieces([(number, -1, "text", squeeze(c))])
             return
         g = Grams(c)
-        two, one = g.training()
-        for kind, keys, counts, bits in (("2", g.keys2, two[g.order2], 56), ("1", g.keys1, one[g.order1], 64)):
+        one, two = g.training()
+        order1, keys1, order2, keys2 = g.keys()
+        for kind, keys, counts, bits in (("2", keys2, two[order2], 56), ("1", keys1, one[order1], 64)):
             at = cuts(keys, bits, buckets)
             yield _pieces([(number, b, kind, pickle.dumps((*pack_keys(keys[i:j]), pack_counts(counts[i:j])))) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
 
@@ -195,26 +208,31 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_pieces(rows)])
 
 
-def _join(table: pa.Table) -> pa.Table:
-    """One chunk's text with its counts: ordered by bucket, so they line up with the sorted keys."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload", "chunk")), strict=True), key=lambda r: r[:2])
-    text = next(r for r in rows if r[0] == "text")
-    answers = {kind: [r[2] for r in rows if r[0] == kind] for kind in "12"}
-    return pa.Table.from_batches([_pieces([(text[3], -1, "all", pickle.dumps((text[2], answers["1"], answers["2"])))])])
+CHUNK = "chunk long, payload binary, stat binary"
+
 
+def _join(n: int):
+    """One chunk's text with the corpus counts of its words and distinct bigrams, and its part of the EM's statistics."""
 
-def _opened(payload: bytes) -> tuple[Grams, np.ndarray, np.ndarray]:
-    """A chunk's n-grams with the corpus counts of its distinct bigrams and words."""
-    text, ones, twos = pickle.loads(payload)
-    g = Grams(pickle.loads(zlib.decompress(text)))
-    two, one = np.zeros(len(g.distinct), np.int64), np.zeros(len(g.keys1), np.int64)
-    for out, order, blobs in ((two, g.order2, twos), (one, g.order1, ones)):
-        counts = np.concatenate([unpack_counts(b) for b in blobs])
-        if len(counts) != len(order):
-            raise RuntimeError("the counts do not belong to this chunk's texts: the input changed between two reads")
-        out[order] = counts
-    one[0] = one[1]  # as many starts as ends
-    return g, two, one
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload", "chunk")), strict=True), key=lambda r: r[:2])
+        text = next(r for r in rows if r[0] == "text")
+        g = Grams(unsqueeze(text[2]))
+        order1, _, order2, _ = g.keys()
+        counts = []
+        for kind, order in (("1", order1), ("2", order2)):
+            back = np.concatenate([unpack_counts(r[2]) for r in rows if r[0] == kind])
+            if len(back) != len(order):
+                raise RuntimeError("the counts do not belong to this chunk's texts: the input changed between two reads")
+            out = np.empty(len(order), np.int64)
+            out[order] = back
+            counts.append(out)
+        one, two = counts
+        one[0] = one[1]  # as many starts as ends
+        stat = squeeze(_statistics(g, one, two, n))
+        return pa.table({"chunk": pa.array([text[3]], pa.int64()), "payload": pa.array([pickle.dumps((text[2], pack_counts(one), pack_counts(two)))], pa.binary()), "stat": pa.array([stat], pa.binary())})
+
+    return run
 
 
 def _bin(p: np.ndarray) -> np.ndarray:
@@ -223,25 +241,22 @@ def _bin(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _statistics(n: int):
+def _statistics(g: Grams, one: np.ndarray, two: np.ndarray, n: int) -> list[np.ndarray]:
     """Weights and sums of the deleted estimates by (context bucket, bigram bin, unigram bin)."""
+    w = g.training()[1]
+    k = w > 0
+    w, c2, cp, cc = w[k], two[k], one[g.prev[k]], one[g.cur[k]]
+    p2 = np.where(cp > 1, (c2 - 1) / np.maximum(cp - 1, 1), 0.0)
+    p1 = (cc - 1) / max(n - 1, 1)
+    key = (np.floor(np.log2(cp)).astype(np.int64) << 24) + ((_bin(p2) + 1) << 12) + _bin(p1) + 1
+    u, inverse = np.unique(key, return_inverse=True)
+    return [u >> 24, (u >> 12 & 4095) - 1, (u & 4095) - 1, *(np.bincount(inverse, weights=w * x, minlength=len(u)).astype(float) for x in (np.ones(len(w)), p2, p1))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for payload in b.column(3):
-                g, two, one = _opened(payload.as_py())
-                w, _ = g.training()
-                k = w > 0
-                w, c2, cp, cc = w[k], two[k], one[g.prev[k]], one[g.cur[k]]
-                p2 = np.where(cp > 1, (c2 - 1) / np.maximum(cp - 1, 1), 0.0)
-                p1 = (cc - 1) / max(n - 1, 1)
-                key = np.stack([np.floor(np.log2(cp)).astype(np.int64), _bin(p2), _bin(p1)])
-                u, inverse = np.unique(key, axis=1, return_inverse=True)
-                inverse = inverse.ravel()
-                sums = [np.bincount(inverse, weights=w * x, minlength=u.shape[1]) for x in (np.ones(len(w)), p2, p1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, u), *map(pa.array, sums)], ["b", "i", "j", "w", "p2", "p1"])
 
-    return run
+def _open_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for stat in b.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unsqueeze(stat.as_py())], ["b", "i", "j", "w", "p2", "p1"])
 
 
 def learn(table: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -267,13 +282,15 @@ def learn(table: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
 def _score(n: int, v: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for payload in b.column(3):
-                g, two, one = _opened(payload.as_py())
+            for payload in b.column(0):
+                text, *counts = pickle.loads(payload.as_py())
+                g, one, two = Grams(unsqueeze(text)), *map(unpack_counts, counts)
                 cp, cc = one[g.prev], one[g.cur]
                 bucket = np.minimum(np.floor(np.log2(np.maximum(cp, 1))).astype(np.int64), len(weights) - 1)
                 x = weights[bucket]
                 p = x[:, 0] * two / np.maximum(cp, 1) + x[:, 1] * cc / max(n, 1) + x[:, 2] / (v + 1)
-                at = np.searchsorted(g.distinct, g.codes)
+                each = np.empty(len(g.order))
+                each[g.order] = np.repeat(np.log10(p), g.counts)
                 base = np.log10((one + 0.1) / (n + 0.1 * (v + 1)))
                 tokens, lengths = g.c["tokens"], g.c["lengths"]
                 yield pa.RecordBatch.from_arrays(
@@ -284,7 +301,7 @@ def _score(n: int, v: int, weights: np.ndarray):
                         pa.array(np.add.reduceat((one > 0)[tokens].astype(np.int64), g.starts)),
                         pa.array(np.full(len(lengths), n, np.int64)),
                         pa.array(np.add.reduceat(base[tokens], g.starts)),
-                        pa.array(np.add.reduceat(np.log10(p)[at], g.starts)),
+                        pa.array(np.add.reduceat(each, g.starts)),
                     ],
                     [f.split()[0] for f in SCORED.split(", ")],
                 )
@@ -303,7 +320,8 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     sums = [pickle.loads(r[0]) for r in counts.where("chunk = -1").select("payload").collect()]
     n, v = sum(s[0] for s in sums), sum(s[1] for s in sums)
     texts = docs.mapInArrow(_read("text", buckets), PIECE)
-    chunks = cut(texts.unionAll(counts.where("chunk >= 0")).groupBy("chunk").applyInArrow(_join, PIECE), "chunks")
-    table = chunks.mapInArrow(_statistics(n), "b long, i long, j long, w double, p2 double, p1 double")
+    joined = texts.unionAll(counts.where("chunk >= 0")).groupBy("chunk").applyInArrow(_join(n), CHUNK)
+    chunks = cut(joined, "chunks")
+    table = chunks.select("stat").mapInArrow(_open_statistics, "b long, i long, j long, w double, p2 double, p1 double")
     table = table.groupBy("b", "i", "j").agg(F.sum("w"), F.sum("p2"), F.sum("p1")).collect()  # at most buckets x bins x bins rows
-    return chunks.mapInArrow(_score(n, v, learn(sorted(table), v)), SCORED)
+    return chunks.select("payload").mapInArrow(_score(n, v, learn(sorted(table), v)), SCORED)
