@@ -7,7 +7,8 @@ share at least ``required`` retained values (all but about 1e-8 of such pairs),
 to common, each class is listed only under its rarest ``retained - required + 1`` values: passages that many
 documents share drop out of the lists of all but near copies.
 
-Lists never emit all their pairs. In ``STARS`` rounds each list pairs its members with one pivot; the union sketch
+Lists never emit all their pairs. In ``STARS`` rounds each list pairs its members with one pivot, the member with
+most shared values (later, of those outside the pivot's component); the union sketch
 (the K smallest values of both) estimates each pair's similarity and filters those out of reach; what is left is
 verified on full sets; links join into components. A list whose members all are in one component is done. For
 lists that still hold several components a last, complete round pairs members of different components only, after
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import columns, cut, mix64
 
-WORDS, SIMILARITY, K, STARS = 5, 75, 64, 2
+WORDS, SIMILARITY, K, STARS = 5, 75, 64, 3
 #: Full sets of at most this many candidate documents are found by a broadcast of ids (8 bytes each); beyond it, by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS)]
@@ -98,13 +99,13 @@ def required(n: F.Column) -> F.Column:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """value, c, n: each class under its rarest retained values that others share."""
+    """value, c, n, shared: each class under its rarest retained values that others share, and how many those are in all."""
     own = classes.select("c", "n", F.explode("sketch").alias("value"))
     shared = own.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     listed = own.join(shared.hint("shuffle_hash"), "value")
     by_class = Window.partitionBy("c")
     listed = listed.withColumn("shared", F.count("*").over(by_class)).withColumn("rank", F.row_number().over(by_class.orderBy("df", "value")))
-    return listed.where(F.col("rank") <= F.col("shared") - required(F.col("n")) + 1).select("value", "c", "n")
+    return listed.where(F.col("rank") <= F.col("shared") - required(F.col("n")) + 1).select("value", "c", "n", "shared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,6 +164,11 @@ class Verifier:
         return cut(p.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared"))).select("a", "b", "shared"), "links")
 
 
+def _central() -> F.Column:
+    """Order of a list's members: the one with most shared values first (a group's origin rather than a copy far from it)."""
+    return F.struct("shared", (-F.col("c")).alias("c"), "n", "comp")
+
+
 def _within(x: str, y: str) -> F.Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
 
@@ -189,10 +195,13 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         at = lists.withColumn("comp", F.col("c")) if comps is None else lists.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         if comps is not None:
             at = cut(at, "at")
-        open_ = at.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("c", "n", "comp")).alias("first"), F.max(F.struct("comp", "c", "n")).alias("last")).where("low <> high")
+        open_ = at.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", _central()).alias("main")).where("low <> high")
         if turn < STARS:
-            pivot = F.col("first" if turn == 0 else "last")
-            pivots = open_.select("value", pivot["c"].alias("p"), pivot["n"].alias("pn"), pivot["comp"].alias("pc"))
+            apart = at
+            if turn:  # a pivot among those that are not with the list's most central member yet
+                apart = at.join(open_.select("value", "main"), "value").where("comp <> main")
+            pivots = apart.groupBy("value").agg(F.max(_central()).alias("p"), F.count("*").alias("m"))
+            pivots = pivots.where("m > 1" if not turn else "m > 0").select("value", (-F.col("p.c")).alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
             met = at.join(pivots, "value").where((F.col("comp") != F.col("pc")) & _within("n", "pn")).select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
         else:
             rest = cut(_linkable(at.join(open_.select("value"), "value"), verifier), "rest")

@@ -31,7 +31,7 @@ from millrace.llm.common import columns, crc_mod
 
 DOCS_PER_LANGUAGE, MAX_DOCS, WORDS_PER_DOC = 400, 20_000, 100
 WINDOW, HIDDEN, EPOCHS, BATCH, RATE = 32, 16, 3, 256, 0.01
-CACHE = 400_000
+CACHE = 100_000
 #: Below this mean probability a document's language counts as not told.
 MIN_SCORE = 0.3
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
