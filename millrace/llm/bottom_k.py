@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import columns, cut, mix64
 
 WORDS, SIMILARITY, K, STARS = 5, 75, 64, 3
+#: Values of a sketch in the last round, cut from the full sets.
+WIDE = 256
 #: Full sets of at most this many candidate documents are found by a broadcast of ids (8 bytes each); beyond it, by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS)]
@@ -131,11 +133,7 @@ class Verifier:
     def estimate(self, pairs: DataFrame) -> DataFrame:
         s = self.classes.select("c", "sketch")
         p = pairs.join(s.select(F.col("c").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("c").alias("b"), F.col("sketch").alias("sb")), "b")
-        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-        p = p.select("a", "b", F.array_intersect("sa", "sb").alias("both"), union.alias("u"))
-        k = F.size("u")
-        reach = SIMILARITY / 100 - 5 * F.sqrt(F.lit(SIMILARITY * (100 - SIMILARITY)) / 10_000 / k)
-        return p.where(F.size(F.array_intersect("both", "u")) / k >= reach).select("a", "b")
+        return p.where(_estimate("sa", "sb", K)).select("a", "b")
 
     def prepare(self, members: DataFrame) -> None:
         """Read the full sets of all listed classes (c) once: c, values."""
@@ -175,13 +173,43 @@ def _within(x: str, y: str) -> F.Column:
 
 def _linkable(listed: DataFrame, verifier: Verifier) -> DataFrame:
     """The rows of open lists that can still be linked: similarity s needs an overlap of s / (1 + s) of both sizes,
-    and a class's overlap with any other is at most its ``common``. Nothing that could be a link is lost."""
-    common = verifier.common(listed.select("c").distinct())
-    least = listed.groupBy("value").agg(F.min("n").alias("least"))
-    other = F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILARITY / 100))
-    able = listed.join(common, "c").join(least, "value").where((100 + SIMILARITY) * F.col("common") >= SIMILARITY * (F.col("n") + other))
-    mixed = able.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
-    return able.join(mixed, "value", "left_semi").select("value", "c", "n", "comp")
+    and a class's overlap with any other is at most its ``common``. Setting some aside lowers the others' ``common``,
+    hence two passes. Nothing that could be a link is lost."""
+    for _ in range(2):
+        common = verifier.common(listed.select("c").distinct())
+        least = listed.groupBy("value").agg(F.min("n").alias("least"))
+        other = F.greatest(F.col("least"), F.ceil(F.col("n") * SIMILARITY / 100))
+        able = listed.join(common, "c").join(least, "value").where((100 + SIMILARITY) * F.col("common") >= SIMILARITY * (F.col("n") + other))
+        listed = cut(able.select("value", "c", "n", "comp"), "linkable")
+    mixed = listed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
+    return listed.join(mixed, "value", "left_semi")
+
+
+def _remaining_pairs(listed: DataFrame, verifier: Verifier) -> DataFrame:
+    """a, b: all pairs of different components that share a list and whose sketches allow a link.
+
+    A pair meets in every list it shares but is made in the first of them only, and only if the union of its
+    ``WIDE`` smallest values passes the estimate; so what is made is near the number of links, not of meetings.
+    """
+    rest = cut(_linkable(listed, verifier), "rest")
+    own = rest.groupBy("c").agg(F.collect_list("value").alias("lists"))  # at most K values
+    own = own.join(verifier.full.select("c", F.slice("values", 1, WIDE).alias("wide")), "c")
+    left = cut(rest.join(own, "c"), "wide")
+    right = left.select(*[F.col(x).alias(f"{x}2") for x in ("value", "c", "n", "comp", "lists", "wide")])
+    once = F.array_min(F.array_intersect("lists", "lists2")) == F.col("value")
+    meets = (F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & _within("n", "n2")
+    near = F.when(meets, F.when(once, _estimate("wide", "wide2", WIDE))).otherwise(False)
+    return left.join(right, (F.col("value") == F.col("value2")) & near).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+
+
+def _estimate(x: str, y: str, k: int) -> F.Column:
+    """Whether the union sketch of two sketches leaves a link possible."""
+    union = F.slice(F.array_sort(F.array_union(x, y)), 1, k)
+    size = F.size(union)
+    reach = SIMILARITY / 100 - 5 * F.sqrt(F.lit(SIMILARITY * (100 - SIMILARITY)) / 10_000 / size)
+    # sketches of fewer than k values are whole sets, whose similarity is known
+    reach = F.when(F.size(F.array_union(x, y)) < k, F.lit(SIMILARITY / 100)).otherwise(reach)
+    return F.size(F.array_intersect(F.array_intersect(x, y), union)) / size >= reach
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -204,10 +232,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             pivots = pivots.where("m > 1" if not turn else "m > 0").select("value", (-F.col("p.c")).alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
             met = at.join(pivots, "value").where((F.col("comp") != F.col("pc")) & _within("n", "pn")).select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
         else:
-            rest = cut(_linkable(at.join(open_.select("value"), "value"), verifier), "rest")
-            left = rest.select("value", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-            right = left.select("value", F.col("a").alias("b"), F.col("an").alias("bn"), F.col("ac").alias("bc"))
-            met = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _within("an", "bn")).select("a", "b")
+            met = _remaining_pairs(at.join(open_.select("value"), "value").select("value", "c", "n", "comp"), verifier)
         met = met.distinct()
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
