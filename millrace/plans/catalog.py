@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import ids, spans, text
-from millrace.operators import audit, citations, dedup, graph, registry, retrieval, sampling, stats
-from millrace.session import importable
+from millrace.operators import audit, citations, claims, dedup, expansion, gates, graph, lineage, registry, retrieval, sampling, stats
+from millrace.session import checkpoint_dir, importable
 from millrace.sources import html, sinks
 from millrace.streaming import ingest
 
@@ -677,3 +677,172 @@ def prompt_fit(t):
     c = c.unionAll(c.select("conv_id", F.lit(0).cast("long"), F.lit(0).cast("long")).distinct())
     payloads = t.spark.createDataFrame([(0, 900), (1, 100)], "payload int, base long")
     return citations.fit_prompt(c.crossJoin(F.broadcast(payloads)), "conv_id", 1000)
+
+
+# ---- claims, the claim graph, retrieval on it ----------------------------------------------------------------
+
+
+def _claim_table(t):
+    """One claim per conversation turn: the first word is the subject, the role the object; every seventh row has a fault."""
+    d = t.conversations.where(F.length(F.split("text", " ")[0]) > 0)
+    word = F.split("text", " ")[0]
+    k = F.col("conv_id") % 7
+    status = F.when(k == 1, "nil").when(k == 2, "weird").otherwise("canonical")
+    entity = F.when(k == 1, F.lit(None)).otherwise(F.concat(F.lit("ENT:"), "role"))
+    subject = F.struct(F.lit("m1").alias("mention_id"), word.alias("text"), F.when(k == 3, 1).otherwise(0).alias("start"), (F.length(word) + F.when(k == 3, 1).otherwise(0)).alias("end"), entity.alias("entity_id"), status.alias("entity_status"), F.col("role").alias("canonical_name"))
+    return d.select(
+        F.concat(F.lit("D"), "conv_id").alias("document_uid"), F.concat(F.lit("C"), "turn").alias("chunk_id"), "text", F.lit(0).alias("claim_index"), F.lit(None).cast("string").alias("claim_id"),
+        F.array(subject).alias("mentions"), F.when(k == 4, "m9").otherwise("m1").alias("subject"), F.struct(F.lit(None).cast("string").alias("mention_id"), F.col("role").alias("value"), F.lit("text").alias("value_type")).alias("object"),
+        F.when(k == 5, "likes").otherwise("describes").alias("predicate"), F.when(k == 6, "negated").otherwise("affirmed").alias("polarity"),
+        F.lit(None).cast("struct<text: string, start: int, end: int>").alias("polarity_scope"), F.lit("asserted").alias("modality"), F.lit(None).cast("string").alias("attribution"), F.when((k == 0) & (F.col("turn") % 2 == 1), "quotes").otherwise("supports").alias("evidence_stance"), F.lit(0.9).alias("model_confidence"),
+    )
+
+
+_CLAIM_SQL = """
+c AS (SELECT 'D' || conv_id AS document_uid, 'C' || turn AS chunk_id, conv_id % 7 AS k, turn, role, string_split(text, ' ')[1] AS w, text FROM conversations WHERE length(string_split(text, ' ')[1]) > 0),
+v AS (SELECT *, CASE k WHEN 2 THEN 'subject_endpoint_missing,unknown_entity_status' WHEN 3 THEN 'mention_span_mismatch,subject_endpoint_missing' WHEN 4 THEN 'subject_endpoint_missing' WHEN 5 THEN 'unknown_predicate' WHEN 6 THEN 'missing_polarity_scope'
+  WHEN 1 THEN 'unresolved_entity' WHEN 0 THEN CASE WHEN turn % 2 = 1 THEN 'quoted_only' ELSE '' END END AS reasons FROM c),
+routed AS (SELECT *, CASE WHEN k IN (2, 3, 4, 5, 6) THEN 'quarantined' WHEN reasons <> '' THEN 'reviewed' ELSE 'accepted' END AS route FROM v)"""
+
+
+@query(f"WITH {_CLAIM_SQL} SELECT document_uid, chunk_id, route, reasons FROM routed")
+def claim_validate(t):
+    return claims.validate(_claim_table(t)).select("document_uid", "chunk_id", "route", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {_CLAIM_SQL} SELECT document_uid, CASE WHEN count(DISTINCT route) = 1 THEN min(route) ELSE 'partial' END AS status FROM routed GROUP BY 1")
+def extraction_status(t):
+    return claims.extraction_status(claims.validate(_claim_table(t)).withColumn("chunk_id", F.lit("all"))).select("document_uid", "status")
+
+
+def _claim_graph(t):
+    c = t.conversations
+    chunks = c.select(F.concat(F.lit("D"), "conv_id").alias("document_uid"), F.concat(F.lit("C"), "turn").alias("chunk_id"), "text", F.sha2("text", 256).alias("text_sha256"), F.lit(True).alias("factual_index_allowed"), F.lit("accepted").alias("status"), F.lit("review").alias("source_type"), F.lit(0.8).alias("authority_score"), F.col("turn").alias("ord"))
+    ok = claims.validate(_claim_table(t)).where("route = 'accepted'")
+    return claims.build_graph(ok, chunks)
+
+
+@query(f"WITH {_CLAIM_SQL}, a AS (SELECT * FROM routed WHERE route = 'accepted') SELECT type, count(*) AS n FROM (SELECT DISTINCT document_uid, role, unnest(['has_subject', 'has_object']) AS type FROM a UNION ALL SELECT document_uid, chunk_id, unnest(['supports', 'from_document', 'evidenced_by']) FROM a) GROUP BY type")
+def graph_build_edges(t):
+    return gates.frequency(_claim_graph(t)["edges"], "type")
+
+
+@query(f"WITH {_CLAIM_SQL} SELECT document_uid, 'ENT:' || role AS subject_entity_id, role AS object_value, count(*) AS n_evidence FROM routed WHERE route = 'accepted' GROUP BY ALL")
+def graph_build_claims(t):
+    return _claim_graph(t)["Claim"].select("document_uid", "subject_entity_id", "object_value", F.size("evidence_occurrence_ids").cast("long").alias("n_evidence"))
+
+
+@query()
+def graph_components_score(t):
+    checkpoint_dir(t.spark)
+    g = {k: v.checkpoint() for k, v in _claim_graph(t).items() if k in ("EvidenceChunk", "Claim", "Entity", "edges")}
+    e = g["EvidenceChunk"]
+    signatures = t.spark.createDataFrame([(0, ["ENT:user"], ["describes"], ["affirmed"], ["asserted"], ["supports"]), (1, ["ENT:none"], [], [], [], [])], "query_id int, entity_ids array<string>, predicates array<string>, polarities array<string>, modalities array<string>, stances array<string>")
+    seeds = e.crossJoin(F.broadcast(signatures.select("query_id"))).select("query_id", F.lit("dense").alias("branch"), (F.length("text") / 1000.0).alias("raw_score"), "evidence_chunk_id", "document_uid", "chunk_id")
+    return expansion.graph_hits(seeds, signatures, g, expansion.Settings()).select("query_id", "candidate_id", "hop", F.round("score", 6).alias("score"), "rank", "n_paths")
+
+
+@query("""SELECT conv_id AS document_uid, turn AS chunk_id, max_by(text, (length(text), text)) AS text FROM (SELECT conv_id, turn % 2 AS turn, text FROM conversations) GROUP BY 1, 2""")
+def chunk_last_wins(t):
+    c = t.conversations.select(F.col("conv_id").alias("document_uid"), (F.col("turn") % 2).alias("chunk_id"), "text", F.struct(F.length("text").alias("n"), F.col("text").alias("x")).alias("ord"))
+    return claims.last_chunks(c).select("document_uid", "chunk_id", "text")
+
+
+# ---- summaries and gates -------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS reference_available FROM documents d LEFT JOIN labels l USING (doc_id)")
+def reference_quarantine(t):
+    d = t.documents.join(t.labels.select("doc_id", F.col("quality").cast("string").alias("ref")), "doc_id", "left")
+    return gates.scorable(d, "ref").select("doc_id", "reference_available")
+
+
+@query("SELECT lang, count(*) AS n, round(avg((lang = 'en')::INT), 6) AS match_rate, 'english=' || count(*) AS detected FROM documents GROUP BY lang")
+def language_summary(t):
+    d = t.documents.select("lang", F.lit("english").alias("detected"))
+    s = gates.language_summary(d, "lang", "detected")
+    return s.select("lang", "n", F.round("match_rate", 6).alias("match_rate"), F.array_join(F.transform(F.map_entries("detected_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("detected"))
+
+
+@query("SELECT event_type AS metric, count(*) AS n_input, count(*) FILTER (user_id % 9 <> 0) AS n_scorable, round(avg((user_id % 9 <> 0)::INT), 6) AS coverage FROM events GROUP BY 1")
+def reference_audit(t):
+    m = t.events.select(F.col("event_type").alias("metric"), F.when(F.col("user_id") % 9 == 0, "missing").otherwise("scored").alias("status"))
+    return gates.reference_audit(m).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_ids, count(*) FILTER (value > 10) AS n_accepted, round(count(*) FILTER (value > 10) / greatest(1, count(*)), 6) AS rate FROM events GROUP BY 1")
+def variant_quality(t):
+    return gates.variant_quality(t.events, "event_type", "user_id", F.col("value") > 10).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_chunks, count(o_orderkey) > 0 AS indexable FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def chunk_counts(t):
+    return gates.chunk_counts(t.customer, t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (n_chars >= 500) AS n_consistent, round(avg((n_chars >= 500)::INT), 6) AS rate FROM documents GROUP BY ROLLUP (lang)")
+def language_consistency(t):
+    return gates.consistency(t.documents, "lang", F.col("n_chars") >= 500).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (quality = 1) AS n_accepted, round(avg((quality = 1)::INT), 6) AS rate, avg((quality = 1)::INT) >= 0.98 AS passed FROM labels")
+def parse_rate_gate(t):
+    return gates.rate_gate(t.labels, F.col("quality") == 1, 0.98).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (n_chars >= 80) AS healthy, round(count(*) FILTER (n_chars >= 80) / count(*), 6) AS coverage, count(*) FILTER (n_chars >= 80) >= 40 AND count(*) FILTER (n_chars >= 80) / count(*) >= 0.8 AS passed FROM documents")
+def availability_gate(t):
+    return gates.availability_gate(t.documents, F.col("n_chars") >= 80, 40, 0.8).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("WITH n AS (SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS o FROM part GROUP BY 1, 2) SELECT p_brand, arg_max(p_type, (n, -o)) AS p_type FROM n GROUP BY 1")
+def mode_label(t):
+    return gates.mode_label(t.part, "p_brand", "p_type", "p_partkey")
+
+
+@query("""WITH c AS (SELECT quality AS g, toxic AS p FROM labels), l AS (SELECT DISTINCT g AS label FROM c UNION SELECT p FROM c)
+SELECT label, count(*) FILTER (g = label) AS support, count(*) FILTER (g = label AND p = label) AS correct, round(coalesce(count(*) FILTER (g = label AND p = label) / nullif(count(*) FILTER (p = label), 0), 0), 6) AS precision,
+round(coalesce(count(*) FILTER (g = label AND p = label) / nullif(count(*) FILTER (g = label), 0), 0), 6) AS recall FROM c, l GROUP BY label""")
+def per_label_scores(t):
+    p = gates.per_label(t.labels, "quality", "toxic")
+    return p.select("label", F.col("support").cast("long").alias("support"), F.col("correct").cast("long").alias("correct"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def set_differences(t):
+    return gates.set_differences(t.documents, t.labels, "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'changed' END AS reason FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def cache_mismatches(t):
+    a = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    b = a.where("doc_id % 5 <> 0").withColumn("h", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("h")))
+    return gates.cache_mismatches(a, b, "doc_id", "h")
+
+
+# ---- lineage -------------------------------------------------------------------------------------------------
+
+_LINEAGE = """chunk AS (SELECT conv_id, turn, 'chunk:' || conv_id || ':' || turn AS id FROM conversations),
+n AS (SELECT DISTINCT 'document:' || conv_id AS id, 'document' AS kind FROM conversations UNION ALL SELECT id, 'chunk' FROM chunk UNION ALL SELECT DISTINCT 'entity:' || role, 'entity' FROM conversations),
+e AS (SELECT 'document:' || conv_id AS source, id AS target, 'contains' AS kind FROM chunk UNION ALL SELECT 'chunk:' || conv_id || ':' || turn, 'entity:' || role, 'mentions' FROM conversations)"""
+
+
+def _lineage(t):
+    c = t.conversations.select(F.col("conv_id").cast("string").alias("document"), F.concat_ws(":", "conv_id", "turn").alias("chunk"), F.col("role").alias("entity"))
+    return lineage.build(c)
+
+
+@query(f"WITH {_LINEAGE} SELECT n.id, n.kind, count(e.source) AS degree FROM n LEFT JOIN e ON n.id IN (e.source, e.target) GROUP BY 1, 2")
+def lineage_nodes(t):
+    return _lineage(t)[0].select("id", "kind", "degree")
+
+
+@query(f"WITH {_LINEAGE} SELECT source, target, kind FROM e")
+def lineage_edges(t):
+    return _lineage(t)[1]
+
+
+@query(f"""WITH {_LINEAGE}, b AS (SELECT source AS s, target AS d FROM e UNION ALL SELECT target, source FROM e), h1 AS (SELECT DISTINCT d FROM b WHERE s = 'document:0'),
+h2 AS (SELECT DISTINCT b.d FROM b JOIN h1 ON b.s = h1.d) SELECT d AS id FROM (SELECT 'document:0' AS d UNION SELECT d FROM h1 UNION SELECT d FROM h2)""")
+def lineage_neighbourhood(t):
+    return lineage.neighbourhood(_lineage(t)[1], "document:0", 2)
