@@ -90,9 +90,9 @@ def label_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> Da
 def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """The pairs whose left end has one right end and the other way round (CA1's acronym guard)."""
     pairs = pairs.select(left, right).distinct()
-    for a, b in ((left, right), (right, left)):
+    for a in (left, right):
         single = pairs.groupBy(a).agg(F.count("*").alias("__n")).where("__n = 1").select(a)
-        pairs = pairs.join(single, a, "left_semi") if a == left else pairs.join(single, a, "left_semi")
+        pairs = pairs.join(single, a, "left_semi")
     return pairs
 
 

@@ -5,12 +5,15 @@ Every operator takes and gives (query_id, candidate_id, ...) rows. Thresholds co
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens
 
 K1, B = 1.5, 0.75
+QUERY_BLOCK = 4096
 
 
 def ranked(df: DataFrame, score: str = "score", group: str = "query_id", item: str = "candidate_id") -> DataFrame:
@@ -61,9 +64,13 @@ def dot(a: str, b: str) -> Column:
 def dense(queries: DataFrame, items: DataFrame, k: int, floor: float) -> DataFrame:
     """query_id, candidate_id, score, rank: exact top-k by dot product, then score >= floor (TK1).
 
-    ``queries`` (query_id, q) is a bounded set of vectors and is broadcast; ``items`` (candidate_id, v) is scanned once.
+    ``queries`` (query_id, q) are broadcast in blocks of about ``QUERY_BLOCK`` vectors, their number being checked
+    first; ``items`` (candidate_id, v) are scanned once a block.
     """
-    scored = items.join(F.broadcast(queries), F.col("candidate_id") != F.col("query_id")).select("query_id", "candidate_id", dot("q", "v").alias("score"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+    scans = [items.join(F.broadcast(q), F.col("candidate_id") != F.col("query_id")) for q in parts]
+    scored = reduce(DataFrame.unionAll, scans).select("query_id", "candidate_id", dot("q", "v").alias("score"))
     return top_k(scored, k).where(F.col("score") >= floor)
 
 

@@ -111,7 +111,7 @@ def weighted_kappa(ratings: DataFrame, a: str, b: str, power: int = 1) -> DataFr
     cells = both.groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
     ranks = cells.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     ranks = ranks.withColumn("r", F.dense_rank().over(Window.orderBy("v")))
-    cells = cells.join(F.broadcast(ranks.select(F.col("v").alias("a"), F.col("r").alias("i"))), "a").join(F.broadcast(ranks.select(F.col("v").alias("b"), F.col("r").alias("j"))), "b")
+    cells = cells.join(ranks.select(F.col("v").alias("a"), F.col("r").alias("i")), "a").join(ranks.select(F.col("v").alias("b"), F.col("r").alias("j")), "b")
     rows, cols = cells.groupBy("i").agg(F.sum("n").alias("x")), cells.groupBy("j").agg(F.sum("n").alias("y"))
     weight = F.pow(F.abs(F.col("i") - F.col("j")).cast("double"), F.lit(float(power)))
     seen = cells.agg(F.sum("n").alias("n"), F.sum(weight * F.col("n")).alias("seen"))
@@ -123,7 +123,7 @@ def weighted_kappa(ratings: DataFrame, a: str, b: str, power: int = 1) -> DataFr
 def ordinal_alpha(ratings: DataFrame, unit: str, rater: str, score: str) -> DataFrame:
     """n_units, alpha: Krippendorff's alpha with squared distance of category ranks (MT9)."""
     r = ratings.where(F.col(score).isNotNull())
-    r = r.join(F.broadcast(r.select(score).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(score)).cast("double"))), score)
+    r = r.join(r.select(score).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(score)).cast("double")), score)
     u = r.groupBy(unit).agg(F.count("*").cast("double").alias("m"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q")).where("m > 1")
     # sum over ordered pairs of (x - y)^2 is 2 (m q - s^2), so no pairs are made
     totals = u.agg(F.count("*").alias("n_units"), F.sum(2 * (F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("seen"), F.sum("m").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
