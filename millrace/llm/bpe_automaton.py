@@ -89,26 +89,30 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """Labels of the only path that spells ``word``."""
-        n, arcs, arc = len(word), self.arcs, self.arc
-        state: list[int] = [-1] * (n + 1)
+        n, get, arc = len(word), self.arcs.get, self.arc
+        state = [-1] * (n + 1)
         since = [0] * (n + 1)
-        table = self.inner
+        inner, final, longest = self.inner.get, self.final.get, self.longest
         for i in range(1, n + 1):
-            if i == n:
-                table = self.final
-            for j in range(i - 1, max(0, i - self.longest) - 1, -1):
-                label = table.get(word[j:i])
-                if label is None or (j and state[j] < 0):
-                    continue
-                if j:
-                    ok = arcs.get(state[j] << 32 | label)
-                    if not (arc(state[j], label) if ok is None else ok):
-                        continue
-                state[i], since[i] = label, j
-                break
-            else:
-                if i == n:
-                    raise ValueError(f"no path spells {word!r}")
+            find = inner if i < n else final
+            # only one arc can end here, so the order of trying is free: the last token one longer, then new ones
+            j = last = since[i - 1]
+            low = max(0, i - longest)
+            while True:
+                label = find(word[j:i])
+                if label is not None:
+                    before = state[j]
+                    ok = True if not j else False if before < 0 else get(before << 32 | label)
+                    if arc(before, label) if ok is None else ok:
+                        state[i], since[i] = label, j
+                        break
+                if j == last:
+                    last, j = -1, i
+                j -= 1
+                if j < low:
+                    if i == n:
+                        raise ValueError(f"no path spells {word!r}")
+                    break
         out = []
         while n:
             out.append(state[n])
@@ -124,6 +128,7 @@ class Encoder:
         if [x["type"] for x in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or model["type"] != "BPE":
             raise ValueError("this tokenizer file's pipeline is not supported")
         self.automaton = Automaton(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")
+        self.raw = {i: i.to_bytes(4, "little") for i in self.automaton.token}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.marks = [t[:2] for t in self.special]
@@ -141,7 +146,7 @@ class Encoder:
                 self.words.clear()
             a = self.automaton
             ids = a.encode("".join(map(self.letters.__getitem__, piece.encode("utf-8", "surrogatepass"))))
-            found = self.words[piece] = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(a.token.__getitem__, ids)))
+            found = self.words[piece] = (b"".join(map(self.raw.__getitem__, ids)), " ".join(map(a.token.__getitem__, ids)))
         return found
 
     def chunk(self, text: str) -> tuple[bytes, str]:
