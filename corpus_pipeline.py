@@ -16,27 +16,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import best_fit, bottom_k, language_id, personal_data
-from millrace.llm.common import cut
+from millrace.llm.common import cut, small_batches
 from millrace.session import importable
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return bottom_k.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return personal_data.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return best_fit.pack(docs)
 
 

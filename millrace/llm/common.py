@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset (tests), one of our own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        own = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, own, True)
+        d = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
@@ -51,8 +54,20 @@ def sweep() -> None:
 atexit.register(sweep)
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held whole by both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Unless the session has its own choice, send texts to Python in batches of BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
