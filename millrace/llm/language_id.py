@@ -17,6 +17,7 @@ empty text; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections import defaultdict
@@ -155,6 +156,11 @@ class Reader:
         self.row: dict[str, int] = {}
         self.sums = np.zeros((1024, self.n + 1), np.float32)
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps only a small cache: it may next work for another stage."""
+        if len(self.row) > CACHE // 4:
+            self._clear()
+
     def _learn(self, new: list[str]) -> None:
         base = len(self.row)
         while len(self.sums) < base + len(new):
@@ -237,6 +243,8 @@ def train(docs: DataFrame, folds: int = 5) -> BiGRU | None:
     words.sort()
     model = BiGRU(labels)
     model.fit(words)
+    del sample, words
+    gc.collect()
     return model
 
 
@@ -258,6 +266,7 @@ def predict(docs: DataFrame, model: BiGRU | None, folds: int = 5) -> DataFrame:
                 labels += some[0]
                 scores += some[1]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        reader.rest()
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -280,6 +289,7 @@ def keep_identified(docs: DataFrame, model: BiGRU | None, min_score: float = MIN
                 labels, scores = reader.texts(some.column(at[0]).to_pylist())
                 some = some.set_column(at[1], "lang", pa.array(labels, pa.string()))
                 yield some.filter(pa.array([k != "und" and s >= min_score for k, s in zip(labels, scores, strict=True)], pa.bool_()))
+        reader.rest()
 
     return docs.mapInArrow(run, docs.schema)
 
