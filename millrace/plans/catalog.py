@@ -146,7 +146,7 @@ def token_counts(t):
 
 @query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(lower(substring(text, 1, 80)), '[\p{L}\p{N}_]+'), lambda w: w NOT IN ('and', 'for', 'of', 'on', 'the')), lambda w: substring(w, 1, 1)), '') AS initials FROM documents""")
 def acronym_initials(t):
-    return t.documents.select("doc_id", text.initials(F.substring("text", 1, 80)).alias("initials"))
+    return t.documents.select("doc_id", text.initials(F.col("text")).alias("initials"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN l AND g THEN 'mixed' WHEN l THEN 'latin' WHEN g THEN 'greek' ELSE 'unknown' END AS script

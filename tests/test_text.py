@@ -88,3 +88,12 @@ def test_window_table_handles_nulls_and_no_rows(spark):
     d = spark.createDataFrame([("a", None), (None, "Hi there.")], "k string, t string")
     assert [(r.key, r.text) for r in spans.window_table(d, "k", "t", 50).collect()] == [(None, "Hi there.")]
     assert spans.window_table(d.limit(0), "k", "t", 50).count() == 0
+
+
+def test_acronym_initials_reads_whole_texts(spark, tmp_path):
+    from millrace.plans import catalog
+
+    words = [f"{chr(97 + i % 26)}word{i}" for i in range(60)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "World of Health")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(tuple(r) for r in catalog.queries()["acronym_initials"](spark, str(tmp_path)).collect())
+    assert got == {1: "".join(w[0] for w in words), 2: "wh"}
