@@ -5,15 +5,16 @@ Every operator takes and gives (query_id, candidate_id, ...) rows. Thresholds co
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import tokens
 
 K1, B = 1.5, 0.75
-QUERY_BLOCK = 4096
+QUERY_BLOCK, ITEM_BLOCK = 4096, 16384
 
 
 def ranked(df: DataFrame, score: str = "score", group: str = "query_id", item: str = "candidate_id") -> DataFrame:
@@ -57,20 +58,60 @@ def overlap(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     return terms.join(asked, "term").groupBy("query_id", "candidate_id").agg((F.count("*") / F.first("n")).alias("score"))
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _block_top(queries: pa.Table, items: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, item row and score of each query's k best items of a block; a query never meets its own id.
+
+    The product of the matrices only chooses rows: what comes within its rounding of the k-th is scored again in
+    the order of the elements, so equal vectors get equal scores and ties go by id.
+    """
+    q_ids, i_ids = (np.asarray(x.column("id").to_pylist(), dtype=object) for x in (queries, items))
+    order = np.argsort(i_ids, kind="stable")
+    place: dict = {}
+    for n, x in enumerate(i_ids[order]):
+        place.setdefault(x, []).append(n)
+    q, v = (np.stack(x.column("v").to_numpy()).astype(np.float64) for x in (queries, items))
+    v = v[order]
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * (np.linalg.norm(v, axis=1).max() + 1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for lo in range(0, len(q), 256):
+        for n, near in enumerate(q[lo : lo + 256] @ v.T, lo):
+            near[place.get(q_ids[n], [])] = -np.inf
+            least = np.partition(near, -k)[-k] - slack[n] if len(near) > k else -np.inf
+            at = np.nonzero((near >= least) & (near > -np.inf))[0]
+            score = np.zeros(len(at))
+            for x, y in zip(q[n], v[at].T, strict=True):
+                score += x * y
+            best = np.argsort(-score, kind="stable")[:k]
+            out.append((np.full(len(best), n), order[at[best]], score[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def dense(queries: DataFrame, items: DataFrame, k: int, floor: float) -> DataFrame:
     """query_id, candidate_id, score, rank: exact top-k by dot product, then score >= floor (TK1).
 
-    ``queries`` (query_id, q) are broadcast in blocks of about ``QUERY_BLOCK`` vectors, their number being checked
-    first; ``items`` (candidate_id, v) are scanned once a block.
+    ``queries`` (query_id, q) and ``items`` (candidate_id, v) of finite vectors meet block by block, about
+    ``QUERY_BLOCK`` by ``ITEM_BLOCK`` in a task, and only k rows a query leave a block; no pair becomes a row.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
-    scans = [items.join(F.broadcast(q), F.col("candidate_id") != F.col("query_id")) for q in parts]
-    scored = reduce(DataFrame.unionAll, scans).select("query_id", "candidate_id", dot("q", "v").alias("score"))
+    def usable(x: DataFrame, key: str, vector: str) -> DataFrame:
+        v = x.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return v.where("id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))").withColumn("dim", F.size("v"))
+
+    asked, known = usable(queries, "query_id", "q"), usable(items, "candidate_id", "v")
+    q_blocks, i_blocks = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-known.count() // ITEM_BLOCK))
+
+    def dealt(x: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return x.select("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), "id", "v")
+
+    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("candidate_id", items.schema["candidate_id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def scan(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            i, j, score = _block_top(a, b, k)
+            return pa.table([a.column("id").take(pa.array(i)), b.column("id").take(pa.array(j)), pa.array(score)], names=kinds.names)
+        return pa.table([a.column("id").slice(0, 0), b.column("id").slice(0, 0), pa.array([], pa.float64())], names=kinds.names)
+
+    left, right = dealt(asked, "qb", q_blocks, "ib", i_blocks), dealt(known, "ib", i_blocks, "qb", q_blocks)
+    scored = left.groupBy("dim", "qb", "ib").cogroup(right.groupBy("dim", "qb", "ib")).applyInArrow(scan, kinds)
     return top_k(scored, k).where(F.col("score") >= floor)
 
 

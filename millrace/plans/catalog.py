@@ -267,7 +267,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ca
 @query(f"WITH {_DENSE} SELECT query_id, candidate_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 12 AND score >= 0.25")
 def dense_topk(t):
     e = t.embeddings
-    asked = e.where("vec_id < 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # the stated queries
+    asked = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.dense(asked, e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("v")), 12, 0.25).select("query_id", "candidate_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -277,12 +277,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY probability DE
 
 @query(_SELECT + " SELECT query_id, candidate_id, round(probability, 6) AS probability, probability >= 0.55 AND place <= 5 AS selected, CASE WHEN probability < 0.55 THEN 'below_floor' WHEN place > 5 THEN 'over_limit' ELSE 'selected' END AS reason FROM k")
 def evidence_select(t):
-    return _selected(t).select("query_id", "candidate_id", F.round("probability", 6).alias("probability"), "selected", "reason")
+    return _selected(t).select("query_id", "candidate_id", F.round(F.round("probability", 9), 6).alias("probability"), "selected", "reason")
 
 
 def _selected(t):
     e = t.embeddings
-    asked = e.where("vec_id < 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     top = retrieval.dense(asked, e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("v")), 12, -1.0)
     return retrieval.select_evidence(top.withColumn("logit", 10 * F.col("score") - 3), 0.55, 5)
 
