@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOLERANCE = 1e-12
+#: The most differences whose sign assignments are all made, and how many of a larger group go to a task.
+EXACT, SHARE = 16, 4096
 
 
 def finite(x: Column) -> Column:
@@ -53,12 +58,12 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
 
 
 def exact_sign_permutation(differences: DataFrame, group: str, value: str, tolerance: float = TOLERANCE) -> DataFrame:
-    """group, n, p_value: all 2^n sign assignments of at most 16 differences (MT5).
+    """group, n, p_value: all 2^n sign assignments of at most ``EXACT`` differences (MT5).
 
     The assignments are folded inside the row: no row per assignment is made.
     """
     d = differences.groupBy(group).agg(F.collect_list(value).alias("d"))
-    d = d.where(F.size("d") <= 16).withColumn("n", F.size("d"))
+    d = d.where(F.size("d") <= EXACT).withColumn("n", F.size("d"))
     sums = F.aggregate("d", F.array(F.lit(0.0)), lambda s, x: F.concat(F.transform(s, lambda y: y + x), F.transform(s, lambda y: y - x)))
     seen = F.abs(F.aggregate("d", F.lit(0.0), lambda s, x: s + x))
     d = d.withColumn("sums", sums).withColumn("seen", seen)
@@ -66,6 +71,61 @@ def exact_sign_permutation(differences: DataFrame, group: str, value: str, toler
     return d.select(group, "n", (hits / F.size("sums")).alias("p_value"))
 
 
+def sign_permutation(differences: DataFrame, group: str, value: str, tolerance: float = TOLERANCE, permutations: int = 10_000, seed: int = 42) -> DataFrame:
+    """group, n, p_value of every group: exact up to ``EXACT`` differences, seeded Monte Carlo beyond (MT5)."""
+    n = differences.groupBy(group).agg(F.count(value).cast("int").alias("n"))
+    sizes = n.withColumnRenamed(group, "__g")
+    same = F.col(group).eqNullSafe(F.col("__g"))
+    few = differences.join(sizes.where(F.col("n") <= EXACT), same, "left_semi")
+    many = differences.where(F.col(value).isNotNull()).join(sizes.where(F.col("n") > EXACT), same).drop("__g")
+    return exact_sign_permutation(few, group, value, tolerance).unionByName(_sampled_sign_permutation(many, group, value, tolerance, permutations, seed))
+
+
+def _sampled_sign_permutation(many: DataFrame, group: str, value: str, tolerance: float, permutations: int, seed: int) -> DataFrame:
+    """(c + 1) / (N + 1) over N sign assignments of each group of (group, n, value).
+
+    The signs of c equal values sum to 2 Binomial(c, 1/2) - c, drawn from a hash of (group, value), so a rerun gives
+    the same. A group's values are dealt over several tasks, each of which gives one array of N sums.
+    """
+    cells = many.groupBy(group, "n", F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    bucket = F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / SHARE))
+    cells = cells.withColumn("key", F.xxhash64(group, "x", F.lit(seed))).repartition(F.col(group), bucket).select(group, "n", "x", "c", "key")
+    of = many.schema[group].dataType
+    partial = T.StructType([T.StructField(group, of), T.StructField("n", T.IntegerType()), T.StructField("seen", T.DoubleType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    result = T.StructType([T.StructField(group, of), T.StructField("n", T.IntegerType()), T.StructField("p_value", T.DoubleType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def rows() -> pa.RecordBatch:
+            out = [pa.array([k[i] for k in held], kind) for i, kind in ((0, kinds[0]), (1, pa.int32()))]
+            sums = pa.array([v[1] for v in held.values()], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([*out, pa.array([v[0] for v in held.values()], pa.float64()), sums], partial.names)
+
+        for b in batches:
+            kinds = b.schema.types
+            for g, n, x, c, key in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                if (g, n) not in held and len(held) == 64:
+                    yield rows()
+                    held.clear()
+                at = held.setdefault((g, n), [0.0, np.zeros(permutations)])
+                r = np.random.Generator(np.random.Philox(key % (1 << 64)))
+                heads = np.unpackbits(np.frombuffer(r.bytes(-(-permutations // 8)), np.uint8))[:permutations].astype(np.float64) if c == 1 else r.binomial(c, 0.5, permutations)
+                at[0] += c * x
+                at[1] += (2 * heads - c) * x
+        if held:
+            yield rows()
+
+    def judge(t: pa.Table) -> pa.Table:
+        sums = np.zeros(permutations)
+        for one in t.column("sums"):
+            sums += one.values.to_numpy()
+        hits = int((np.abs(sums) >= abs(sum(t.column("seen").to_pylist())) - tolerance).sum())
+        return pa.table([t.column(group).slice(0, 1), t.column("n").slice(0, 1), pa.array([(hits + 1) / (permutations + 1)])], names=result.names)
+
+    return cells.mapInArrow(add, partial).groupBy(group).applyInArrow(judge, result)
+
+
 def monte_carlo_sign_permutation(values: list[float], permutations: int = 10_000, seed: int = 42) -> float:
     """(c + 1) / (N + 1) over seeded sign flips; for samples too large for the exact test (MT5, MT11)."""
     r = random.Random(seed)

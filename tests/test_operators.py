@@ -230,3 +230,17 @@ def test_every_vector_is_a_query(spark, tmp_path):
     assert len(chosen) == 40 * 12
     none = {i for i, s in top.items() if 1 / (1 + math.exp(3 - 10 * s[0])) < 0.55}
     assert {x.query_id for x in known["evidence_abstentions"](spark, str(tmp_path)).collect()} == none
+
+
+def test_no_group_of_differences_is_lost(spark):
+    d = [("a", 1.0), ("a", 2.0), ("a", 3.0)] + [("b", 1.0)] * 17 + [("c", float(i % 7 - 3) + i / 64) for i in range(5000)] + [("z", 0.0)] * 20
+    d += [("m", x) for x in (5.0, 4.0, 3.0, 2.5, -1.0, 1.5, 0.5, -0.25, 1.25, -2.0, 1.0, 0.75, -0.5, 2.0, 1.75, 0.1, -3.0)]
+    got = {r.g: (r.n, r.p_value) for r in stats.sign_permutation(spark.createDataFrame(d, "g string, v double").repartition(7), "g", "v").collect()}
+    assert {k: n for k, (n, _) in got.items()} == {"a": 3, "b": 17, "c": 5000, "z": 20, "m": 17}
+    assert got["a"][1] == pytest.approx(2 / 8) and got["z"][1] == 1.0
+    assert got["b"][1] < 0.001 and got["c"][1] == pytest.approx(1 / 10_001)
+    sums = [0.0]
+    for _, x in d[-17:]:
+        sums = [s + y for s in sums for y in (x, -x)]
+    exact = sum(abs(s) >= abs(sum(x for _, x in d[-17:])) - 1e-12 for s in sums) / len(sums)
+    assert got["m"][1] == pytest.approx(exact, abs=5 * math.sqrt(exact * (1 - exact) / 10_000))
