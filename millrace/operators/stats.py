@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -212,30 +213,26 @@ def best_threshold(grid: DataFrame, objective: str = "f1") -> DataFrame:
 
 
 def chrf(reference: Column, hypothesis: Column, order: int = 6, beta: float = 2.0) -> Column:
-    """Mean over n-gram orders of the F-beta of character n-grams, lower-cased, without white space (MT1)."""
-
-    def squeeze(x: Column) -> Column:
-        return F.regexp_replace(F.lower(x), r"(?U)\s+", "")
-
-    def grams(x: Column, n: int) -> Column:
-        return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    def shared(a: Column, b: Column) -> Column:
-        # occurrences of the i-th value up to i, compared with the other side's total
-        distinct = F.array_distinct(a)
-        return F.aggregate(distinct, F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
-
-    r, h = squeeze(reference), squeeze(hypothesis)
-    parts, used = [], []
-    for n in range(1, order + 1):
-        a, b = grams(r, n), grams(h, n)
-        both = shared(a, b).cast("double")
-        p, q = F.try_divide(both, F.size(b)), F.try_divide(both, F.size(a))
-        f = F.coalesce(F.try_divide((1 + beta**2) * p * q, beta**2 * p + q), F.lit(0.0))
-        on = (F.least(F.length(r), F.length(h)) >= n).cast("double")
-        parts.append(on * f)
-        used.append(on)
-    return F.when(reference.isNull() | hypothesis.isNull(), F.lit(None).cast("double")).otherwise(F.coalesce(F.try_divide(sum(parts[1:], parts[0]), sum(used[1:], used[0])), F.lit(0.0)))
+    """Mean over n-gram orders of the F-beta of character n-grams, case-folded, without white space (MT1).
+
+    Whole texts are counted in an Arrow function; null if either is missing.
+    """
+
+    def one(r: str, h: str) -> float:
+        r, h = "".join(r.casefold().split()), "".join(h.casefold().split())
+        scores = []
+        for n in range(1, min(order, len(r), len(h)) + 1):
+            a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (r, h))
+            both = (a & b).total()
+            p, q = both / (len(h) - n + 1), both / (len(r) - n + 1)
+            scores.append((1 + beta**2) * p * q / (beta**2 * p + q) if both else 0.0)
+        return sum(scores) / len(scores) if scores else 0.0
+
+    @F.pandas_udf(T.DoubleType())
+    def score(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None or h is None else one(r, h) for r, h in zip(reference, hypothesis, strict=True)], dtype="float64")
+
+    return score(reference, hypothesis)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -548,8 +548,8 @@ def threshold_grid(t):
 @query()
 def chrf_pairs(t):
     b = t.benchmark
-    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.substring("text", 1, 60).alias("hyp"))
-    return b.join(nxt, "item_id").select("item_id", F.round(stats.chrf(F.substring("text", 1, 60), F.col("hyp")), 6).alias("chrf"))
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hyp"))
+    return b.join(nxt, "item_id").select("item_id", F.round(stats.chrf(F.col("text"), F.col("hyp")), 6).alias("chrf"))
 
 
 @query()

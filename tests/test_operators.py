@@ -244,3 +244,12 @@ def test_no_group_of_differences_is_lost(spark):
         sums = [s + y for s in sums for y in (x, -x)]
     exact = sum(abs(s) >= abs(sum(x for _, x in d[-17:])) - 1e-12 for s in sums) / len(sums)
     assert got["m"][1] == pytest.approx(exact, abs=5 * math.sqrt(exact * (1 - exact) / 10_000))
+
+
+def test_chrf_pairs_scores_whole_texts(spark, tmp_path):
+    from millrace.plans import catalog
+
+    same = "the same sixty characters begin both of these texts, so that a cut would hide "
+    spark.createDataFrame([(1, same + "this"), (2, same + "QQQQ zzzz"), (3, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = dict(tuple(r) for r in catalog.queries()["chrf_pairs"](spark, str(tmp_path)).collect())
+    assert set(got) == {1, 2} and 0.8 < got[1] < 0.99
