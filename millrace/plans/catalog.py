@@ -434,7 +434,7 @@ def contained_dedup(t):
 
 @query()
 def near_dup_pairs(t):
-    return dedup.near_pairs(t.benchmark, "item_id", "text", 0.8).withColumn("score", F.round("score", 6))
+    return dedup.near_classes(t.documents, "doc_id", "text", 0.8).withColumn("score", F.round("score", 6))
 
 
 # ---- pages, sentences, windows -------------------------------------------------------------------------------

@@ -253,3 +253,16 @@ def test_chrf_pairs_scores_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, same + "this"), (2, same + "QQQQ zzzz"), (3, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = dict(tuple(r) for r in catalog.queries()["chrf_pairs"](spark, str(tmp_path)).collect())
     assert set(got) == {1, 2} and 0.8 < got[1] < 0.99
+
+
+def test_near_dup_pairs_covers_documents_and_collapses_copies(spark, tmp_path):
+    from millrace.plans import catalog
+
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron upsilon"
+    texts = [long, long.upper(), long + " omega", "one two three four five six seven", long, "", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.kind, r.prior_index, r.current_index) for r in catalog.queries()["near_dup_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("near", 0, 2), ("copy", 0, 1), ("copy", 0, 4)}
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    pairs = {(r.prior_index, r.current_index) for r in dedup.near_pairs(d, "doc_id", "text", 0.8).collect()}
+    assert pairs == {(0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4)}
