@@ -221,8 +221,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for cell in b.column(1):
             words = [w for w in cell.as_py().lower().split() if has_letter(w)]
-            step = max(1, len(words) // WORDS_PER_DOC)
-            out.append(words[::step][:WORDS_PER_DOC])
+            most = min(len(words), WORDS_PER_DOC)
+            out.append([words[i * len(words) // most] for i in range(most)])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["lang", "words"])
 
 

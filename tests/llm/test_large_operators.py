@@ -363,3 +363,16 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     empty = docs.sparkSession.createDataFrame([], d.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_training_words_cover_the_whole_text():
+    import pyarrow as pa
+
+    from millrace.llm import language_id
+
+    for n in (40, 100, 150, 199, 250, 1234):
+        cell = " ".join(f"w{i}" for i in range(n))
+        batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([cell])], ["lang", "text"])
+        (got,) = next(language_id._spread(iter([batch]))).column("words").to_pylist()
+        at = [int(w[1:]) for w in got]
+        assert len(at) == min(n, 100) and at[0] == 0 and at == sorted(set(at)) and at[-1] >= n - 1 - n / 100
