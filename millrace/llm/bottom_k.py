@@ -206,7 +206,7 @@ def _estimate(x: str, y: str, k: int) -> F.Column:
     """Whether the union sketch of two sketches leaves a link possible."""
     union = F.slice(F.array_sort(F.array_union(x, y)), 1, k)
     size = F.size(union)
-    reach = SIMILARITY / 100 - 5 * F.sqrt(F.lit(SIMILARITY * (100 - SIMILARITY)) / 10_000 / size)
+    reach = SIMILARITY / 100 - 6.5 * F.sqrt(F.lit(SIMILARITY * (100 - SIMILARITY)) / 10_000 / size)
     # sketches of fewer than k values are whole sets, whose similarity is known
     reach = F.when(F.size(F.array_union(x, y)) < k, F.lit(SIMILARITY / 100)).otherwise(reach)
     return F.size(F.array_intersect(F.array_intersect(x, y), union)) / size >= reach

@@ -376,3 +376,14 @@ def test_training_words_cover_the_whole_text():
         (got,) = next(language_id._spread(iter([batch]))).column("words").to_pylist()
         at = [int(w[1:]) for w in got]
         assert len(at) == min(n, 100) and at[0] == 0 and at == sorted(set(at)) and at[-1] >= n - 1 - n / 100
+
+
+def test_the_estimate_keeps_a_pair_six_deviations_low(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm import bottom_k
+
+    shared = list(range(28))  # of the 64 smallest values of the union
+    d = spark.createDataFrame([(shared + list(range(100, 218, 2)), shared + list(range(101, 219, 2)))], "x array<long>, y array<long>")
+    got = d.select(bottom_k._estimate("x", "y", 64).alias("keep"), F.size(F.array_union("x", "y")).alias("n")).first()
+    assert got.n >= 64 and got.keep
