@@ -145,23 +145,26 @@ def benjamini_hochberg(df: DataFrame, p: str, *order: str) -> DataFrame:
     return tests.withColumn("q_value", q).drop("__r", "__m").unionByName(df.where(F.col(p).isNull()).withColumn("q_value", F.lit(None).cast("double")))
 
 
-def bootstrap_mean_ci(df: DataFrame, value: str, resamples: int = 200, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+def bootstrap_mean_ci(df: DataFrame, value: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 1) -> DataFrame:
     """mean, low, high: percentile interval over Poisson resamples drawn in one pass (MT7; statistical, not bitwise, parity).
 
-    The weight of a row in resample i comes from a hash of (row value, row number, i), so a rerun gives the same.
+    The weights of n equal values sum to Poisson(n), drawn in the scan from a hash of the value, so a rerun gives the
+    same; each task gives one row a resample.
     """
-    u = (F.pmod(F.xxhash64(F.col(value), F.monotonically_increasing_id(), F.col("i"), F.lit(seed)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    e = 2.718281828459045
-    cdf, weight = 0.0, F.lit(6)
-    term, bounds = 1 / e, []
-    for k in range(6):
-        cdf += term
-        bounds.append((k, cdf))
-        term /= k + 1
-    for k, c in reversed(bounds):
-        weight = F.when(u < c, F.lit(k)).otherwise(weight)
-    rows = df.select(value).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    means = rows.groupBy("i").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    cells = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            for x, n, key in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                w = np.random.Generator(np.random.Philox(key % (1 << 64))).poisson(n, resamples)
+                weight += w
+                total += w * x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(weight), pa.array(total)], ["i", "w", "t"])
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    sums = cells.withColumn("key", F.xxhash64("x", F.lit(seed))).repartition(tasks, "x").mapInArrow(add, "i long, w double, t double")
+    means = sums.groupBy("i").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("m"))
     tail = (1 - confidence) / 2
     return means.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high")).crossJoin(df.agg(F.avg(value).alias("mean")))
 

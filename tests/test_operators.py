@@ -266,3 +266,13 @@ def test_near_dup_pairs_covers_documents_and_collapses_copies(spark, tmp_path):
     d = spark.read.parquet(f"{tmp_path}/documents.parquet")
     pairs = {(r.prior_index, r.current_index) for r in dedup.near_pairs(d, "doc_id", "text", 0.8).collect()}
     assert pairs == {(0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4)}
+
+
+def test_bootstrap_uses_the_reference_number_of_resamples(spark):
+    import inspect
+
+    assert inspect.signature(stats.bootstrap_mean_ci).parameters["resamples"].default == 10_000
+    d = spark.createDataFrame([(float(i % 10),) for i in range(1000)] + [(None,)], "v double")
+    r = stats.bootstrap_mean_ci(d, "v").first()
+    half = 1.96 * math.sqrt(8.25 / 1000)
+    assert r.mean == 4.5 and r.low == pytest.approx(4.5 - half, abs=0.02) and r.high == pytest.approx(4.5 + half, abs=0.02)
