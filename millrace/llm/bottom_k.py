@@ -7,19 +7,22 @@ share at least ``required`` retained values (all but about 1e-8 of such pairs),
 to common, each class is listed only under its rarest ``retained - required + 1`` values: passages that many
 documents share drop out of the lists of all but near copies.
 
-Lists never emit all their pairs. In ``STARS`` rounds each list pairs its members with one pivot, the member with
-most shared values (later, of those outside the pivot's component); the union sketch
-(the K smallest values of both) estimates each pair's similarity and filters those out of reach; what is left is
-verified on full sets; links join into components. A list whose members all are in one component is done. For
-lists that still hold several components a last, complete round pairs members of different components only, after
-setting aside the classes that too few of the others' shingles reach to be linked with anything in the list. So no
-link between different texts that would join components is lost, and hot groups do not cost their square.
+Lists never emit all their pairs. In ``STARS`` rounds each list names a pivot, the member with most shared values
+(later, of those outside the list's largest component), and each class is paired with the most central of its
+lists' pivots only: a round makes at most one pair a class, whatever the groups. The union sketch (the K smallest
+values of both) estimates each pair's similarity and filters those out of reach; what is left is verified on full
+sets; links join into components. A list whose members all are in one component is done. For lists that still hold
+several components a last, complete round pairs the members outside a list's largest component with all members of
+other components, after setting aside the classes that too few of the others' shingles reach to be linked with
+anything in the list. Long lists are cut into blocks of about ``BLOCK`` members, and only members outside the
+largest component go to every block, so a hot list is spread over tasks. So no link between different texts that
+would join components is lost, and hot groups do not cost their square.
 
 Cases: A-Z are lower-cased; words are runs without ASCII white space; with fewer than five words the whole
 sequence is the one shingle; without words (or null text) the set is empty and linked with nothing. Rows are
-nodes: repeated rows link to each other and share the smallest doc_id; a row with null doc_id takes part, and has a
-null component_id (and is kept) only if nothing it reaches has an id. An empty table gives an empty result; extra columns are
-not read.
+nodes: repeated rows link to each other and share the smallest doc_id; rows that share a doc_id but not the text are
+judged each by its own text; a row with null doc_id takes part, and has a null component_id (and is kept) only if
+nothing it reaches has an id. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from millrace.llm.common import columns, cut, mix64
 WORDS, SIMILARITY, K, STARS = 5, 75, 64, 2
 #: Values of a sketch in the last round, cut from the full sets.
 WIDE = 256
+#: Members of a list that meet in one block of the last round.
+BLOCK = 256
 #: Full sets of at most this many candidate documents are found by a broadcast of ids (8 bytes each); beyond it, by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS)]
@@ -74,7 +79,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, h1, h2, parts = [], [], [], []
         for lo in range(0, b.num_rows, 256):
-            for s in shingle_sets(b.column(2).slice(lo, 256).to_pylist()):
+            for s in shingle_sets(b.column(3).slice(lo, 256).to_pylist()):
                 n.append(len(s))
                 x, y = set_hash(s)
                 h1.append(x)
@@ -82,7 +87,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(s[:K].copy())
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
         flat = np.concatenate([*parts, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["uid", "doc_id", "n", "h1", "h2", "sketch"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["uid", "doc_id", "th", "n", "h1", "h2", "sketch"])
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,18 +193,24 @@ def _linkable(listed: DataFrame, verifier: Verifier) -> DataFrame:
 def _remaining_pairs(listed: DataFrame, verifier: Verifier) -> DataFrame:
     """a, b: all pairs of different components that share a list and whose sketches allow a link.
 
-    A pair meets in every list it shares but is made in the first of them only, and only if the union of its
-    ``WIDE`` smallest values passes the estimate; so what is made is near the number of links, not of meetings.
+    One of the two is outside the list's largest component, so only those go to all blocks of a list. A pair meets
+    in every list it shares but is made in the first of them only, and only if the union of its ``WIDE`` smallest
+    values passes the estimate; so what is made is near the number of links, not of meetings.
     """
     rest = cut(_linkable(listed, verifier), "rest")
+    sizes = rest.groupBy("value", "comp").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
     own = rest.groupBy("c").agg(F.collect_list("value").alias("lists"))  # at most K values
     own = own.join(verifier.full.select("c", F.slice("values", 1, WIDE).alias("wide")), "c")
-    left = cut(rest.join(own, "c"), "wide")
-    right = left.select(*[F.col(x).alias(f"{x}2") for x in ("value", "c", "n", "comp", "lists", "wide")])
+    rest = cut(rest.join(sizes, "value").join(own, "c"), "wide")
+    right = rest.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).drop("blocks")
+    right = right.select(*[F.col(x).alias(f"{x}2") for x in ("value", "block", "c", "n", "comp", "main", "lists", "wide")])
+    left = rest.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("value", "block", "c", "n", "comp", "lists", "wide")
     once = F.array_min(F.array_intersect("lists", "lists2")) == F.col("value")
-    meets = (F.col("c") < F.col("c2")) & (F.col("comp") != F.col("comp2")) & _within("n", "n2")
+    meets = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("main2")) | (F.col("c") < F.col("c2"))) & _within("n", "n2")
     near = F.when(meets, F.when(once, _estimate("wide", "wide2", WIDE))).otherwise(False)
-    return left.join(right, (F.col("value") == F.col("value2")) & near).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    met = left.join(right, (F.col("value") == F.col("value2")) & (F.col("block") == F.col("block2")) & near)
+    return met.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
 
 
 def _estimate(x: str, y: str, k: int) -> F.Column:
@@ -212,33 +223,35 @@ def _estimate(x: str, y: str, k: int) -> F.Column:
     return F.size(F.array_intersect(F.array_intersect(x, y), union)) / size >= reach
 
 
+def _star_pairs(at: DataFrame, open_: DataFrame, first: bool) -> DataFrame:
+    """a, b: each class of an open list with the most central pivot of its lists, if of another component."""
+    apart = at
+    if not first:  # a pivot among those that are not with the list's most central member yet
+        apart = at.join(open_.select("value", "main"), "value").where("comp <> main")
+    pivots = apart.groupBy("value").agg(F.max(_central()).alias("p"), F.count("*").alias("m")).where("m > 1" if first else "m > 0")
+    met = at.join(pivots.select("value", "p"), "value").where((F.col("comp") != F.col("p.comp")) & _within("n", "p.n"))
+    best = met.groupBy("c").agg(F.max("p").alias("p")).select("c", (-F.col("p.c")).alias("p"))
+    return best.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """c, comp of every class that is linked with another."""
     lists = cut(postings(classes), "lists")
     verifier = Verifier(docs, classes)
     verifier.prepare(lists.select("c").distinct())
-    links = tested = None
-    comps = None
+    links = tested = comps = None
     for turn in range(STARS + 1):
-        at = lists.withColumn("comp", F.col("c")) if comps is None else lists.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        if comps is not None:
-            at = cut(at, "at")
+        at = lists.withColumn("comp", F.col("c")) if comps is None else cut(lists.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "at")
         open_ = at.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", _central()).alias("main")).where("low <> high")
         if turn < STARS:
-            apart = at
-            if turn:  # a pivot among those that are not with the list's most central member yet
-                apart = at.join(open_.select("value", "main"), "value").where("comp <> main")
-            pivots = apart.groupBy("value").agg(F.max(_central()).alias("p"), F.count("*").alias("m"))
-            pivots = pivots.where("m > 1" if not turn else "m > 0").select("value", (-F.col("p.c")).alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-            met = at.join(pivots, "value").where((F.col("comp") != F.col("pc")) & _within("n", "pn")).select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
+            met = _star_pairs(at, open_, not turn)
         else:
             met = _remaining_pairs(at.join(open_.select("value"), "value").select("value", "c", "n", "comp"), verifier)
-        met = met.distinct()
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         met = cut(met, "pairs")
-        if met.isEmpty() and turn >= STARS:
-            break
+        if met.isEmpty() and comps is not None:
+            continue
         tested = met if tested is None else tested.unionAll(met)
         new = verifier.links(met).select("a", "b")
         links = new if links is None else links.unionAll(new)
@@ -246,33 +259,40 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return comps
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """Of each row: doc_id, th (hash of the text), n, component_id, class_id, and the head of its component:
+    null for empty sets, else the doc_id (hid) and text hash (hth) of the row that stands for it, ids before null."""
+    docs = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    rows = cut(hashed.mapInArrow(_sketch, "uid long, doc_id long, th long, n long, h1 long, h2 long, sketch array<long>"), "sketches")
+    key = ["n", "h1", "h2"]
+    head = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    classes = cut(rows.where("n > 0").groupBy(*key).agg(F.min("uid").alias("c"), F.min(head).alias("head"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
+    comps = link_classes(docs, classes)
+    named = classes.select(*key, "c", F.col("doc_id").alias("class_id"), "head").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"), F.min("head").alias("head"))
+    named = cut(named.drop("head").join(least, "comp").select(*key, "class_id", "component_id", F.col("head.doc_id").alias("hid"), F.col("head.th").alias("hth")), "named")
+    return rows.drop("sketch").join(named, key, "left")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id of each row of (doc_id, text).
 
     class_id is the smallest doc_id with the same shingle set (null for empty sets).
     """
-    docs = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_sketch, "uid long, doc_id long, n long, h1 long, h2 long, sketch array<long>"), "sketches")
-    key = ["n", "h1", "h2"]
-    classes = cut(rows.where("n > 0").groupBy(*key).agg(F.min("uid").alias("c"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
-    comps = link_classes(docs, classes)
-    named = classes.select(*key, "c", F.col("doc_id").alias("class_id")).join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    least = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    named = cut(named.join(least, "comp").select(*key, "class_id", "component_id"), "named")
-    out = rows.drop("sketch").join(named, key, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
+    return _labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id; same columns.
-
-    Of rows that repeat doc_id and text one stays; rows with null doc_id all stay.
-    """
-    found = cut(near_duplicates(docs).select("doc_id", "kept"), "kept")
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """The rows that stay: one of each component, that with the smallest doc_id (nulls last), then the smallest
+    hash of its text; same columns. Rows without words are linked with nothing and all stay."""
+    found = _labelled(docs).select("doc_id", "th", "n", "hid", "hth")
+    found = cut(found.withColumn("stays", (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))), "kept")
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__th"))
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    again = found.where("stays AND n > 0").groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).count().where("count > 1").drop("count")
     if again.isEmpty():
         return out
-    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionAll(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+    return out.join(again, same, "left_anti").unionAll(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

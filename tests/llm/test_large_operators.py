@@ -331,6 +331,24 @@ def test_near_duplicate_edges(spark):
     assert sorted((r.doc_id or 0) for r in stays) == [0, 1, 2, 3, 4, 6] and stays[0].asDict().keys() == edge(spark).first().asDict().keys()
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    y, x, z = ("y " * 9 + "end one two three", "x " * 9 + "other words here", "z " * 9 + "third text now")
+    rows = [(3, y), (5, x), (5, y), (7, z), (None, z), (None, "only nulls"), (None, "only nulls"), (8, ""), (8, "")]
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, value int")
+    got = sorted(((r.doc_id, r.text) for r in bottom_k.keep_one(d).collect()), key=repr)
+    assert got == sorted([(3, y), (5, x), (7, z), (None, "only nulls"), (8, ""), (8, "")], key=repr)
+
+
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    # no star rounds: the last round alone must find every component, whatever the size of a block
+    monkeypatch.setattr(bottom_k, "BLOCK", 7)
+    rows = near_rows(5)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for stars in (0, 1):
+        monkeypatch.setattr(bottom_k, "STARS", stars)
+        assert sorted(tuple(r)[:4] for r in bottom_k.near_duplicates(d).collect()) == sorted(plain_components(rows))
+
+
 # ---- pipeline
 
 
