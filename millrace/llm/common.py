@@ -18,9 +18,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one of our own in local mode."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, own, True)
         d = f"file://{own}"
@@ -28,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "t", rows_per_file: int = 0) -> DataFrame:
+def cut(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

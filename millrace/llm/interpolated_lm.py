@@ -2,18 +2,22 @@
 
 p(w | v) = a(b) c(v,w)/c(v) + d(b) c(w)/N + e(b) / (V + 1), where b is the context's frequency bucket (the whole
 part of log2 c(v)). Each bucket's weights come from expectation-maximisation on deleted counts: every training
-token is scored with itself left out of all counts, so the whole corpus is its own held-out set.
-
-Counting and lookup never shuffle texts or single tokens. Texts are read in chunks of bounded size; a chunk sends
-each of its distinct n-grams once, as sorted hash keys with local counts, to the bucket that owns the key range
-(so a common n-gram is one entry a chunk, whatever its frequency), and gets the corpus counts back in the same
-order. Chunks then hold everything their documents need: they give the sufficient statistics of the EM (a table
-bounded by buckets and bins) and, with the learned weights, the scores. Unigram keys are 64-bit, bigram keys
-56-bit hashes; a collision adds two counts.
+token is scored with itself left out of all counts, so the whole corpus is its own held-out set. The maximisation
+runs until no weight moves by more than ``STILL``, over the means of bins an eighth of an octave wide.
+
+Counting and lookup never shuffle texts or single tokens. Texts are read once, into chunks of at most
+``CHUNK_TOKENS`` tokens (a longer document goes on in the next chunk), which are written to the shared folder as
+word numbers; all later steps read these chunks, so a retried task sees the same ones. A chunk sends each of its
+distinct n-grams once, as sorted hash keys with local counts, to the bucket that owns the key range (so a common
+n-gram is one entry a chunk, whatever its frequency), and gets the corpus counts back in the same order. There are
+as many buckets as keep each below about ``BUCKET_TOKENS`` tokens, however large the corpus. Chunks then hold
+everything their documents need: they give the sufficient statistics of the EM (a table bounded by buckets and
+bins) and, with the learned weights, the scores. Unigram keys are 64-bit, bigram keys 56-bit hashes; a collision
+adds two counts.
 
 Cases: null text is empty and has one token, the end; without training rows N = V = 0 and every token has
-probability 1; null doc_id hashes as the empty text; repeated rows count and score each; an empty table gives an
-empty result; extra columns are not read.
+probability 1; null doc_id hashes as the empty text; repeated rows count and score each; a document of any length
+is scored whole; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +35,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import columns, crc_mod, cut, mix64, partitions
 
-CHUNK_TOKENS, ROUNDS, FOLDS = 700_000, 60, 10
+CHUNK_TOKENS, BUCKET_TOKENS, FOLDS = 400_000, 1_000_000, 10
+#: The maximisation ends when no weight moves by more than this, or after so many rounds.
+STILL, ROUNDS = 1e-9, 5000
 START, END = b"\n<start>", b"\n<end>"
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 PIECE = "chunk long, bucket int, kind string, payload binary"
+TEXT = "chunk long, tokens long, payload binary"
+PART = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -83,32 +91,33 @@ def unpack_counts(raw: bytes) -> np.ndarray:
 
 
 class Chunk:
-    """A run of documents: local word numbers in order, and the distinct n-grams with training counts."""
+    """A run of documents, or of parts of long ones: local word numbers in order, each with the word before the first."""
 
     def __init__(self):
         self.words = _Vocabulary({START: 0, END: 1})
+        self.uids: list[int] = []
         self.ids: list = []
-        self.train: list[bool] = []
         self.held: list[bool] = []
+        self.before: list[int] = []
         self.tokens: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, held: bool, text: str | None) -> None:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        seq = np.empty(len(words) + 1, np.uint32)
-        seq[:-1] = np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words))
-        seq[-1] = 1
+    def add(self, uid: int, doc_id: int | None, held: bool, words: list[bytes], before: bytes) -> None:
+        self.before.append(self.words[before])
+        self.tokens.append(np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words)))
+        self.uids.append(uid)
         self.ids.append(doc_id)
         self.held.append(held)
-        self.tokens.append(seq)
-        self.size += len(seq)
+        self.size += len(words)
 
     def finish(self) -> dict:
         digest = xxhash.xxh64_intdigest
         return {
             "hashes": np.fromiter(map(digest, self.words), np.uint64, len(self.words)),
+            "uids": np.array(self.uids, np.int64),
             "ids": self.ids,
             "held": np.array(self.held, bool),
+            "before": np.array(self.before, np.uint32),
             "lengths": np.array([len(t) for t in self.tokens], np.int64),
             "tokens": np.concatenate(self.tokens),
         }
@@ -123,7 +132,7 @@ class Grams:
         self.starts = np.concatenate([[0], np.cumsum(c["lengths"])[:-1]])
         prev = np.empty_like(cur)
         prev[1:] = cur[:-1]
-        prev[self.starts] = 0
+        prev[self.starts] = c["before"]
         v = len(c["hashes"])
         codes = prev * v + cur
         del cur, prev
@@ -159,31 +168,42 @@ def _pieces(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["chunk", "bucket", "kind", "payload"])
 
 
-def _read(emit: str, buckets: int):
-    """Texts in chunks; emit 'keys' to the buckets, or the 'text' itself as word numbers. Both passes cut alike."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as chunks of word numbers."""
 
-    def flush(chunk: Chunk, number: int) -> Iterator[pa.RecordBatch]:
-        c = chunk.finish()
-        if emit == "text":
-            yield _pieces([(number, -1, "text", squeeze(c))])
-            return
-        g = Grams(c)
-        one, two = g.training()
-        order1, keys1, order2, keys2 = g.keys()
-        for kind, keys, counts, bits in (("2", keys2, two[order2], 56), ("1", keys1, one[order1], 64)):
-            at = cuts(keys, bits, buckets)
-            yield _pieces([(number, b, kind, pickle.dumps((*pack_keys(keys[i:j]), pack_counts(counts[i:j])))) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
+    def flush(chunk: Chunk, number: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([chunk.size], pa.int64()), pa.array([squeeze(chunk.finish())], pa.binary())], ["chunk", "tokens", "payload"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunk = TaskContext.get().partitionId() << 24, Chunk()
-        for b in batches:
-            for doc_id, held, text in zip(*b.columns, strict=True):
-                chunk.add(doc_id.as_py(), held.as_py(), text.as_py())
+    number, chunk = TaskContext.get().partitionId() << 24, Chunk()
+    for b in batches:
+        for uid, doc_id, held, text in zip(*b.columns, strict=True):
+            words = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+            words.append(END)
+            at = 0
+            while at < len(words):
+                part = words[at : at + CHUNK_TOKENS - chunk.size] if at or len(words) > CHUNK_TOKENS else words
+                chunk.add(uid.as_py(), doc_id.as_py(), held.as_py(), part, words[at - 1] if at else START)
+                at += len(part)
                 if chunk.size >= CHUNK_TOKENS:
-                    yield from flush(chunk, number)
+                    yield flush(chunk, number)
                     number, chunk = number + 1, Chunk()
-        if chunk.ids:
-            yield from flush(chunk, number)
+    if chunk.ids:
+        yield flush(chunk, number)
+
+
+def _send(buckets: int):
+    """Each chunk's distinct n-grams with training counts, as pieces for the buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, payload in zip(*b.columns, strict=True):
+                g = Grams(unsqueeze(payload.as_py()))
+                one, two = g.training()
+                order1, keys1, order2, keys2 = g.keys()
+                del g
+                for kind, keys, counts, bits in (("2", keys2, two[order2], 56), ("1", keys1, one[order1], 64)):
+                    at = cuts(keys, bits, buckets)
+                    yield _pieces([(number.as_py(), i, kind, pickle.dumps((*pack_keys(keys[x:y]), pack_counts(counts[x:y])))) for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x])
 
     return run
 
@@ -199,6 +219,7 @@ def _count(table: pa.Table) -> pa.Table:
         keys = [unpack_keys(w, raw) for w, raw, _ in blobs]
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([unpack_counts(c) for _, _, c in blobs])).astype(np.int64)
+        del blobs
         if kind == "1":
             rows.append((-1, 0, "sum", pickle.dumps((int(total.sum()), int((total > 0).sum())))))
         at = 0
@@ -221,12 +242,10 @@ def _join(n: int):
         order1, _, order2, _ = g.keys()
         counts = []
         for kind, order in (("1", order1), ("2", order2)):
-            back = np.concatenate([unpack_counts(r[2]) for r in rows if r[0] == kind])
-            if len(back) != len(order):
-                raise RuntimeError("the counts do not belong to this chunk's texts: the input changed between two reads")
             out = np.empty(len(order), np.int64)
-            out[order] = back
+            out[order] = np.concatenate([unpack_counts(r[2]) for r in rows if r[0] == kind])
             counts.append(out)
+        del rows, order1, order2
         one, two = counts
         one[0] = one[1]  # as many starts as ends
         stat = squeeze(_statistics(g, one, two, n))
@@ -274,7 +293,10 @@ def learn(table: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
         x = np.full(3, 1 / 3)
         for _ in range(rounds):
             mix = p * x
-            x = (w[:, None] * mix / mix.sum(axis=1, keepdims=True)).sum(axis=0) / w.sum()
+            new = (w[:, None] * mix / mix.sum(axis=1, keepdims=True)).sum(axis=0) / w.sum()
+            moved, x = np.abs(new - x).max(), new
+            if moved <= STILL:
+                break
         out[b] = x
     return out
 
@@ -295,15 +317,15 @@ def _score(n: int, v: int, weights: np.ndarray):
                 tokens, lengths = g.c["tokens"], g.c["lengths"]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(g.c["uids"]),
                         pa.array(g.c["ids"], pa.int64()),
                         pa.array(g.c["held"]),
                         pa.array(lengths),
                         pa.array(np.add.reduceat((one > 0)[tokens].astype(np.int64), g.starts)),
-                        pa.array(np.full(len(lengths), n, np.int64)),
                         pa.array(np.add.reduceat(base[tokens], g.starts)),
                         pa.array(np.add.reduceat(each, g.starts)),
                     ],
-                    [f.split()[0] for f in SCORED.split(", ")],
+                    [f.split()[0] for f in PART.split(", ")],
                 )
 
     return run
@@ -311,17 +333,21 @@ def _score(n: int, v: int, weights: np.ndarray):
 
 def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """SCORED of each row of (doc_id, text); rows of fold 0 are held out of all counts."""
-    spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
     held = (crc_mod("doc_id", folds) == 0).alias("held")
-    docs = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"))
-    keys = docs.mapInArrow(_read("keys", buckets), PIECE)
-    counts = cut(keys.groupBy("bucket").applyInArrow(_count, PIECE), "counts")
-    sums = [pickle.loads(r[0]) for r in counts.where("chunk = -1").select("payload").collect()]
+    docs = columns(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"))
+    # payloads are compressed already
+    texts = cut(docs.mapInArrow(_read, TEXT), "texts", "none")
+    total = texts.agg(F.sum("tokens")).first()[0] or 0
+    buckets = max(2 * partitions(docs.sparkSession), -(-total // BUCKET_TOKENS))
+    keys = texts.select("chunk", "payload").mapInArrow(_send(buckets), PIECE)
+    counts = cut(keys.groupBy("bucket").applyInArrow(_count, PIECE), "counts", "none")
+    sums = [pickle.loads(r[0]) for r in counts.where("chunk = -1").select("payload").collect()]  # a row a bucket
     n, v = sum(s[0] for s in sums), sum(s[1] for s in sums)
-    texts = docs.mapInArrow(_read("text", buckets), PIECE)
-    joined = texts.unionAll(counts.where("chunk >= 0")).groupBy("chunk").applyInArrow(_join(n), CHUNK)
-    chunks = cut(joined, "chunks")
+    own = texts.select("chunk", F.lit(-1).alias("bucket"), F.lit("text").alias("kind"), "payload")
+    joined = own.unionAll(counts.where("chunk >= 0")).groupBy("chunk").applyInArrow(_join(n), CHUNK)
+    chunks = cut(joined, "chunks", "none")
     table = chunks.select("stat").mapInArrow(_open_statistics, "b long, i long, j long, w double, p2 double, p1 double")
     table = table.groupBy("b", "i", "j").agg(F.sum("w"), F.sum("p2"), F.sum("p1")).collect()  # at most buckets x bins x bins rows
-    return chunks.select("payload").mapInArrow(_score(n, v, learn(sorted(table), v)), SCORED)
+    parts = chunks.select("payload").mapInArrow(_score(n, v, learn(sorted(table), v)), PART)
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    return parts.groupBy("uid", "doc_id", "held_out").agg(*sums).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

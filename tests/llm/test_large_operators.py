@@ -186,7 +186,8 @@ def test_bounds_hold_for_most_pairs():
 # ---- op8
 
 
-def plain_lm(rows):
+def plain_lm(rows, binned):
+    """Plain counts and estimates; the maximisation on each bigram's own values, or on the means of bins."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
     tok = [words_of(t) + ["\n"] for _, t in rows]
     c, c2 = Counter(), Counter()
@@ -197,19 +198,24 @@ def plain_lm(rows):
     n, v = sum(c.values()), len(c)
     start = c["\n"]
     ctx = lambda w: start if w == "^" else c[w]
-    by = defaultdict(list)
+    at = lambda p: math.floor(-8 * math.log2(p)) if p > 0 else -1
+    by = defaultdict(lambda: defaultdict(list))
     for (a, b), k in c2.items():
-        by[int(math.log2(ctx(a)))].append((k, (k - 1) / (ctx(a) - 1) if ctx(a) > 1 else 0, (c[b] - 1) / max(n - 1, 1), 1 / (v + 1)))
+        p2, p1 = (k - 1) / (ctx(a) - 1) if ctx(a) > 1 else 0, (c[b] - 1) / max(n - 1, 1)
+        by[int(math.log2(ctx(a)))][(at(p2), at(p1)) if binned else (a, b)].append((k, p2, p1, 1 / (v + 1)))
     weights = {}
     for b in range(max(by, default=-1) + 1):
         if b not in by:
             weights[b] = weights[b - 1] if b else np.array([0, 0, 1.0])
             continue
-        r = np.array(by[b])
+        r = np.array([[sum(x[0] for x in g), *(sum(x[0] * x[i] for x in g) / sum(x[0] for x in g) for i in (1, 2, 3))] for g in by[b].values()])
         x = np.full(3, 1 / 3)
         for _ in range(interpolated_lm.ROUNDS):
             m = r[:, 1:] * x
-            x = (r[:, :1] * m / m.sum(1, keepdims=True)).sum(0) / r[:, 0].sum()
+            new = (r[:, :1] * m / m.sum(1, keepdims=True)).sum(0) / r[:, 0].sum()
+            moved, x = np.abs(new - x).max(), new
+            if moved <= interpolated_lm.STILL:
+                break
         weights[b] = x
     out = []
     for h, t in zip(held, tok, strict=True):
@@ -226,14 +232,17 @@ def test_language_model_against_brute_force(spark, monkeypatch):
     r = random.Random(8)
     vocabulary = [f"w{int(r.paretovariate(0.7))}" for _ in range(400)]
     rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60)))) for i in range(300)] + [(300, None), (300, "W1 w1\tw1"), (None, "w2")]
+    rows += [(400 + i, " ".join(r.choice(vocabulary) for _ in range(700))) for i in range(2)]  # longer than a chunk
     d = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").coalesce(1)
-    for chunk in (50, 1_500_000):
+    for chunk, bucket in ((50, 100), (1_500_000, 1_000_000)):
         monkeypatch.setattr(interpolated_lm, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(interpolated_lm, "BUCKET_TOKENS", bucket)
         got = sorted(map(tuple, interpolated_lm.score(d).collect()), key=repr)
-        want = sorted(((i, *x) for (i, _), x in zip(rows, plain_lm(rows), strict=True)), key=repr)
-        assert len(got) == len(want)
-        for a, b in zip(got, want, strict=True):
-            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-3)
+        for binned, rel in ((True, 1e-9), (False, 2e-3)):
+            want = sorted(((i, *x) for (i, _), x in zip(rows, plain_lm(rows, binned), strict=True)), key=repr)
+            assert len(got) == len(want)
+            for a, b in zip(got, want, strict=True):
+                assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=rel)
 
 
 def test_language_model_edges(spark):
