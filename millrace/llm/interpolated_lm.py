@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import columns, crc_mod, cut, mix64, partitions
+from millrace.llm.common import columns, crc_mod, cut, discard, mix64, partitions, settle
 
 CHUNK_TOKENS, BUCKET_TOKENS, FOLDS = 400_000, 1_000_000, 10
 #: The maximisation ends when no weight moves by more than this, or after so many rounds.
@@ -64,17 +64,26 @@ class _Vocabulary(dict):
         return n
 
 
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of little-endian values, all lowest bytes first: like bytes together compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+
+
+def unplanes(raw: bytes, width: int, kind: type) -> np.ndarray:
+    out = np.zeros((len(raw) // width, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view(kind)[:, 0]
+
+
 def pack_keys(keys: np.ndarray) -> tuple[int, bytes]:
-    """Sorted unsigned keys as first differences in as few bytes each as the largest needs."""
+    """Sorted unsigned keys as first differences in as few bytes each as the largest needs, compressed."""
     d = np.diff(keys, prepend=np.uint64(0))
     width = max(1, -(-int(d.max()).bit_length() // 8)) if len(d) else 1
-    return width, d.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return width, squeeze(planes(d, width))
 
 
 def unpack_keys(width: int, raw: bytes) -> np.ndarray:
-    d = np.zeros((len(raw) // width, 8), np.uint8)
-    d[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return np.cumsum(d.view(np.uint64)[:, 0], dtype=np.uint64)
+    return np.cumsum(unplanes(unsqueeze(raw), width, np.uint64), dtype=np.uint64)
 
 
 def pack_counts(c: np.ndarray) -> bytes:
@@ -119,7 +128,7 @@ class Chunk:
             "held": np.array(self.held, bool),
             "before": np.array(self.before, np.uint32),
             "lengths": np.array([len(t) for t in self.tokens], np.int64),
-            "tokens": np.concatenate(self.tokens),
+            "tokens": planes(np.concatenate(self.tokens), 3 if len(self.words) <= 1 << 24 else 4),
         }
 
 
@@ -128,6 +137,7 @@ class Grams:
 
     def __init__(self, c: dict):
         self.c = c
+        c["tokens"] = unplanes(c["tokens"], len(c["tokens"]) // int(c["lengths"].sum()), np.uint32)
         cur = c["tokens"].astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(c["lengths"])[:-1]])
         prev = np.empty_like(cur)
@@ -341,11 +351,15 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     buckets = max(2 * partitions(docs.sparkSession), -(-total // BUCKET_TOKENS))
     keys = texts.select("chunk", "payload").mapInArrow(_send(buckets), PIECE)
     counts = cut(keys.groupBy("bucket").applyInArrow(_count, PIECE), "counts", "none")
+    settle(docs.sparkSession)
     sums = [pickle.loads(r[0]) for r in counts.where("chunk = -1").select("payload").collect()]  # a row a bucket
     n, v = sum(s[0] for s in sums), sum(s[1] for s in sums)
     own = texts.select("chunk", F.lit(-1).alias("bucket"), F.lit("text").alias("kind"), "payload")
     joined = own.unionAll(counts.where("chunk >= 0")).groupBy("chunk").applyInArrow(_join(n), CHUNK)
     chunks = cut(joined, "chunks", "none")
+    settle(docs.sparkSession)
+    discard(docs.sparkSession, texts)
+    discard(docs.sparkSession, counts)
     table = chunks.select("stat").mapInArrow(_open_statistics, "b long, i long, j long, w double, p2 double, p1 double")
     table = table.groupBy("b", "i", "j").agg(F.sum("w"), F.sum("p2"), F.sum("p1")).collect()  # at most buckets x bins x bins rows
     parts = chunks.select("payload").mapInArrow(_score(n, v, learn(sorted(table), v)), PART)
