@@ -351,17 +351,17 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     buckets = max(2 * partitions(docs.sparkSession), -(-total // BUCKET_TOKENS))
     keys = texts.select("chunk", "payload").mapInArrow(_send(buckets), PIECE)
     counts = cut(keys.groupBy("bucket").applyInArrow(_count, PIECE), "counts", "none")
-    settle(docs.sparkSession)
     sums = [pickle.loads(r[0]) for r in counts.where("chunk = -1").select("payload").collect()]  # a row a bucket
+    settle(docs.sparkSession)  # only now: the session holds on to the last write until another job has run
     n, v = sum(s[0] for s in sums), sum(s[1] for s in sums)
     own = texts.select("chunk", F.lit(-1).alias("bucket"), F.lit("text").alias("kind"), "payload")
     joined = own.unionAll(counts.where("chunk >= 0")).groupBy("chunk").applyInArrow(_join(n), CHUNK)
     chunks = cut(joined, "chunks", "none")
-    settle(docs.sparkSession)
     discard(docs.sparkSession, texts)
     discard(docs.sparkSession, counts)
     table = chunks.select("stat").mapInArrow(_open_statistics, "b long, i long, j long, w double, p2 double, p1 double")
     table = table.groupBy("b", "i", "j").agg(F.sum("w"), F.sum("p2"), F.sum("p1")).collect()  # at most buckets x bins x bins rows
+    settle(docs.sparkSession)
     parts = chunks.select("payload").mapInArrow(_score(n, v, learn(sorted(table), v)), PART)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     return parts.groupBy("uid", "doc_id", "held_out").agg(*sums).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
