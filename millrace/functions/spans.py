@@ -13,44 +13,41 @@ _END = re.compile(r"[.!?。！？।॥]+[\"'”’)\]}»]*(?=\s|$)|\n+")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence without outer white space; a mark before white space or a line end closes one."""
-    out, at = [], 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        piece = text[at:end]
-        body = piece.strip()
-        if body:
-            start = at + piece.index(body)
-            out.append((start, start + len(body)))
-        at = end
-    return out
+    """(start, end) of each sentence without outer white space; a mark before white space, or a line end, closes one."""
+    return [(e - len(text[s:e].lstrip()), s + len(text[s:e].rstrip())) for s, e in _spans(text)]
+
+
+def _spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence with the white space before it; white space alone is no sentence."""
+    ends = [m.end() for m in _END.finditer(text)]
+    return [(s, e) for s, e in zip([0, *ends], [*ends, len(text)], strict=True) if text[s:e].strip()]
+
+
+def _pieces(text: str, start: int, end: int, most: int) -> Iterator[tuple[int, int]]:
+    """A sentence that is too long, split at the last blank within the limit, or at the limit."""
+    while start < end:
+        stop = min(end, start + most)
+        if stop < end:
+            blank = text.rfind(" ", start + 1, stop + 1)
+            stop = blank if blank > start else stop
+        yield start, stop
+        start = stop
 
 
-def windows(text: str, most: int) -> list[tuple[int, int, int, int, bool, str]]:
-    """(start, end, first sentence, last sentence, aligned, reason): sentences packed greedily, never over ``most``.
+def windows(text: str, most: int) -> list[tuple[int, int, int, int, bool, str | None]]:
+    """(start, end, sentence start, sentence end, aligned, reason): sentences packed greedily, never over ``most``.
 
-    A sentence that is too long is split at its last blank within the limit, or at the limit.
+    The sentence offsets are those of the whole sentences a window comes from. Every piece of a sentence that is too
+    long is a window of its own, not aligned; packing starts afresh after it.
     """
-    out: list[tuple[int, int, int, int, bool, str]] = []
-    first = start = end = None
-    spans = sentences(text)
-    for i, (s, e) in enumerate(spans):
-        if start is not None and e - start <= most:
-            end, last = e, i
-            continue
-        if start is not None:
-            out.append((start, end, first, last, True, "sentence"))
-            start = None
-        while e - s > most:
-            at = text.rfind(" ", s, s + most + 1)
-            stop = at if at > s else s + most
-            out.append((s, stop, i, i, False, "oversized_sentence"))
-            s = stop
-            while s < e and text[s].isspace():
-                s += 1
-        if s < e:
-            start, end, first, last = s, e, i, i
-    if start is not None:
-        out.append((start, end, first, last, True, "sentence"))
+    out: list[tuple[int, int, int, int, bool, str | None]] = []
+    for s, e in _spans(text):
+        if e - s > most:
+            out += [(a, b, s, e, False, "oversized_sentence") for a, b in _pieces(text, s, e, most)]
+        elif out and out[-1][4] and e - out[-1][0] <= most:
+            out[-1] = (out[-1][0], e, out[-1][0], e, True, None)
+        else:
+            out.append((s, e, s, e, True, None))
     return out
 
 

@@ -1,7 +1,7 @@
 """Text projections and predicates (TX1-TX35) as column expressions.
 
 White space is Unicode white space; word characters are letters, numbers and the underscore in any script.
-Unicode normal forms have no built-in: ``nfkc`` is an Arrow UDF for callers whose text is not yet normalised.
+Unicode normal forms and case folding have no built-in: they are Arrow UDFs that get the texts beyond ASCII only.
 """
 
 from __future__ import annotations
@@ -19,19 +19,23 @@ LANGUAGES = {"en": "english", "english": "english", "fr": "french", "french": "f
 #: Scripts by name, as classes of a regular expression.
 SCRIPTS = {
     "latin": r"[A-Za-z\x{00C0}-\x{024F}]",
-    "greek": r"[\x{0370}-\x{03FF}]",
-    "cyrillic": r"[\x{0400}-\x{052F}]",
-    "hebrew": r"[\x{0590}-\x{05FF}]",
-    "arabic": r"[\x{0600}-\x{06FF}]",
+    "tamil": r"[\x{0B80}-\x{0BFF}]",
     "devanagari": r"[\x{0900}-\x{097F}]",
     "bengali": r"[\x{0980}-\x{09FF}]",
-    "tamil": r"[\x{0B80}-\x{0BFF}]",
     "telugu": r"[\x{0C00}-\x{0C7F}]",
+    "kannada": r"[\x{0C80}-\x{0CFF}]",
+    "malayalam": r"[\x{0D00}-\x{0D7F}]",
+    "arabic": r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]",
+    "cyrillic": r"[\x{0400}-\x{04FF}]",
+    "greek": r"[\x{0370}-\x{03FF}]",
+    "hebrew": r"[\x{0590}-\x{05FF}]",
     "thai": r"[\x{0E00}-\x{0E7F}]",
-    "hangul": r"[\x{AC00}-\x{D7AF}]",
-    "kana": r"[\x{3040}-\x{30FF}]",
-    "han": r"[\x{4E00}-\x{9FFF}]",
+    "hangul": r"[\x{1100}-\x{11FF}\x{AC00}-\x{D7AF}]",
+    "han": r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]",
+    "japanese": r"[\x{3040}-\x{30FF}]",
 }
+#: Words that an acronym skips.
+STOP_WORDS = ("a", "an", "and", "for", "of", "the", "to")
 
 
 @F.pandas_udf(T.StringType())
@@ -40,19 +44,34 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc_fold(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
+def _other(x: Column) -> Column:
+    """The text if it has a character beyond ASCII, else null: ASCII texts are in every normal form and stay in the JVM."""
+    return F.when(F.regexp_like(x, F.lit(r"[^\x00-\x7F]")), x)
+
+
+def folded(x: Column) -> Column:
+    """Unicode compatibility composition, case folded."""
+    return F.coalesce(_nfkc_fold(_other(x)), F.lower(x))
+
+
 def collapse(x: Column) -> Column:
     """White-space runs to one blank, ends trimmed (TX6)."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def optional_text(x: Column) -> Column:
-    """Trimmed text; blank is null (TX1)."""
-    return F.nullif(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    """Compatibility-composed, trimmed text; blank is null (TX1)."""
+    return F.nullif(F.regexp_replace(F.coalesce(nfkc(_other(x)), x), r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 def normalized(x: Column) -> Column:
-    """Lower-cased, collapsed (TX2)."""
-    return collapse(F.lower(x))
+    """Compatibility-composed, case-folded, collapsed (TX2)."""
+    return collapse(folded(x))
 
 
 def dedup_key(x: Column) -> Column:
@@ -85,11 +104,26 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
 
 
-def initials(x: Column, stop: list[str] = ("and", "for", "of", "on", "the")) -> Column:
+def initials(x: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """First letters of the words that are not stop words: what a conservative acronym must equal (TX10, TX11)."""
     return F.array_join(F.transform(F.filter(tokens(x), lambda t: ~t.isin(list(stop))), lambda t: F.substring(t, 1, 1)), "")
 
 
+def acronym_key(x: Column) -> Column:
+    """The acronym a surface form may be, else null: one short word in capitals or of at most four letters, or single
+    letters with marks between them (TX10)."""
+    t = F.trim(x)
+    words = tokens(normalized(t))
+    one = (F.size(words) == 1) & F.length(words[0]).between(2, 8) & (((F.upper(t) == t) & (F.lower(t) != t)) | (F.length(words[0]) <= 4))
+    dotted = F.size(words).between(2, 8) & F.forall(words, lambda w: F.length(w) == 1) & F.regexp_like(t, F.lit(r"[^\p{L}\p{N}\s]"))
+    return F.when(one, words[0]).when(dotted, F.array_join(words, ""))
+
+
+def acronym_of(left: Column, right: Column) -> Column:
+    """Whether ``left`` is the conservative acronym of ``right``, which needs at least two words (TX11)."""
+    return F.coalesce((acronym_key(left) == initials(normalized(right))) & (F.size(tokens(normalized(right))) >= 2), F.lit(False))
+
+
 def entity_type(x: Column, aliases: dict[str, str]) -> Column:
     """A closed vocabulary through an alias map, else ``unknown`` (TX12)."""
     table = F.create_map(*[F.lit(v) for kv in aliases.items() for v in kv])

@@ -68,23 +68,22 @@ def entity_size(n: Column) -> Column:
     return F.least(F.lit(16.0), 3 + 2.2 * F.log2(n + 1))
 
 
-def label_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, root: least node reachable over undirected (a, b), by least labels with pointer jumping (CA1's merges).
 
-    Stops when a round changes nothing; each round is materialised by checkpoint().
+    Goes on until a round changes nothing (a number of rounds about the logarithm of the longest path); each round is materialised by checkpoint().
     """
     checkpoint_dir(nodes.sparkSession)
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select("id", F.col("id").alias("root"))
-    for _ in range(rounds):
+    while True:
         low = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         new = labels.join(low, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("low", "root")).alias("root"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("further"))
         new = new.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("further", "root")).alias("root")).checkpoint()
         labels = new.select("id", "root")
         if new.where("old <> root").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:

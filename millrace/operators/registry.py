@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.ids import catalog_entity_id, stable_id
-from millrace.functions.text import basename, initials, normalized, path_key, tokens
+from millrace.functions.text import acronym_key, basename, initials, normalized, path_key, tokens
 from millrace.operators.graph import label_components, one_to_one
 
 
@@ -62,12 +62,12 @@ def entity_catalog(rows: DataFrame) -> DataFrame:
     n = n.withColumn("kind", F.when((F.col("entity_type") == "unknown") & (F.col("k") == 1), F.col("only")).otherwise(F.col("entity_type")))
     node = stable_id("namespace", "kind", "alias")
     nodes = n.withColumn("id", node)
-    keys = nodes.select("id", "namespace", "kind", "alias", F.size(tokens(F.col("alias"))).alias("words"), initials(F.col("alias")).alias("initials")).distinct()
-    short = keys.where("words = 1 AND length(alias) BETWEEN 2 AND 8").select("namespace", F.col("alias").alias("acronym"), F.col("id").alias("a"), F.col("kind").alias("ka"))
+    keys = nodes.select("id", "namespace", "kind", "alias", acronym_key(F.col("label")).alias("acronym"), F.size(tokens(F.col("alias"))).alias("words"), initials(F.col("alias")).alias("initials")).distinct()
+    short = keys.where("acronym IS NOT NULL").select("namespace", "acronym", F.col("id").alias("a"), F.col("kind").alias("ka"))
     long = keys.where("words >= 2").select("namespace", F.col("initials").alias("acronym"), F.col("id").alias("b"), F.col("kind").alias("kb"))
     pairs = short.join(long, ["namespace", "acronym"]).where("ka = kb OR ka = 'unknown' OR kb = 'unknown'")
     edges = one_to_one(pairs, "a", "b")
-    roots = label_components(keys.select("id"), edges)
+    roots = label_components(keys.select("id").distinct(), edges)
     best = F.struct(F.size(tokens(F.col("alias"))), F.length("label"), F.col("label"))
     out = nodes.join(roots, "id").groupBy("root", "namespace").agg(
         F.max_by("label", best).alias("canonical_name"),

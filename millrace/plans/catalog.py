@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ids, spans, text
@@ -116,12 +116,12 @@ def category_filter(t):
     return audit.by_category(t.documents, F.col("lang"), ["en", "de"]).decided.select("doc_id", "kept", "reason")
 
 
-@query(r"SELECT doc_id, nullif(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS norm FROM documents")
+@query(r"SELECT doc_id, nullif(regexp_replace(nfc_normalize(text), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS norm FROM documents")
 def null_text_normalise(t):
     return t.documents.select("doc_id", text.optional_text(F.col("text")).alias("norm"))
 
 
-@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(translate(text, '’‘ʼ', '''''''')), '[\s\p{Z}]+', ' ', 'g'))) AS h FROM documents")
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(nfc_normalize(translate(text, '’‘ʼ', ''''''''))), 'ß', 'ss'), '[\s\p{Z}]+', ' ', 'g'))) AS h FROM documents")
 def dedup_keys(t):
     return t.documents.select("doc_id", F.sha2(text.dedup_key(F.col("text")), 256).alias("h"))
 
@@ -144,7 +144,7 @@ def token_counts(t):
     return t.documents.select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.size(F.array_distinct(k)).cast("long").alias("n_distinct"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(lower(substring(text, 1, 80)), '[\p{L}\p{N}_]+'), lambda w: w NOT IN ('and', 'for', 'of', 'on', 'the')), lambda w: substring(w, 1, 1)), '') AS initials FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: w NOT IN ('a', 'an', 'and', 'for', 'of', 'the', 'to')), lambda w: substring(w, 1, 1)), '') AS initials FROM documents""")
 def acronym_initials(t):
     return t.documents.select("doc_id", text.initials(F.col("text")).alias("initials"))
 
@@ -260,14 +260,14 @@ def minmax_by_branch(t):
 
 _DENSE = """
 e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_reduce(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]), lambda x, y: x + y) AS score FROM e a JOIN e b ON a.vec_id < 16 AND a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_reduce(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]), lambda x, y: x + y) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM s)"""
 
 
 @query(f"WITH {_DENSE} SELECT query_id, candidate_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 12 AND score >= 0.25")
 def dense_topk(t):
     e = t.embeddings
-    asked = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.dense(asked, e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("v")), 12, 0.25).select("query_id", "candidate_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -282,7 +282,7 @@ def evidence_select(t):
 
 def _selected(t):
     e = t.embeddings
-    asked = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     top = retrieval.dense(asked, e.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("v")), 12, -1.0)
     return retrieval.select_evidence(top.withColumn("logit", 10 * F.col("score") - 3), 0.55, 5)
 
@@ -416,12 +416,12 @@ def candidate_lookup(t):
     return registry.candidates(mentions, cat)
 
 
-@query(r"""SELECT sha256(k) AS group_hash, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, trim(regexp_replace(lower(translate(text, '’‘ʼ', '''''''')), '[\s\p{Z}]+', ' ', 'g')) AS k FROM documents) GROUP BY 1""")
+@query(r"""SELECT sha256(k) AS group_hash, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(translate(text, '’‘ʼ', ''''''''))), 'ß', 'ss'), '[\s\p{Z}]+', ' ', 'g')) AS k FROM documents) GROUP BY 1""")
 def exact_dup(t):
     return dedup.exact_groups(t.documents, "doc_id", "text")
 
 
-@query(r"""SELECT count(*) AS n, count(DISTINCT k) AS n_distinct, count(*) - count(DISTINCT k) AS n_duplicates FROM (SELECT trim(regexp_replace(lower(translate(text, '’‘ʼ', '''''''')), '[\s\p{Z}]+', ' ', 'g')) AS k FROM documents)""")
+@query(r"""SELECT count(*) AS n, count(DISTINCT k) AS n_distinct, count(*) - count(DISTINCT k) AS n_duplicates FROM (SELECT trim(regexp_replace(replace(lower(nfc_normalize(translate(text, '’‘ʼ', ''''''''))), 'ß', 'ss'), '[\s\p{Z}]+', ' ', 'g')) AS k FROM documents)""")
 def duplicate_stats(t):
     return dedup.duplicate_statistics(t.documents, "text")
 
@@ -450,21 +450,21 @@ def sentence_windows(t):
     return spans.window_table(t.documents, "doc_id", "text", 600)
 
 
-@query("SELECT doc_id::VARCHAR AS key, true AS holds FROM documents WHERE length(trim(text)) > 0")
+@query(r"SELECT doc_id::VARCHAR AS key, length(regexp_replace(text, '[\s\p{Z}]', '', 'g')) AS n_solid, true AS holds FROM documents WHERE length(trim(text)) > 0")
 def window_invariants(t):
-    """Every window is the exact slice of its text, none too long, in order, without loss of non-blank text."""
+    """Every window is the exact slice of its text, none too long, in order, without loss of non-blank text (n_solid characters)."""
     w = spans.window_table(t.documents, "doc_id", "text", 600).join(t.documents.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("whole")), "key")
-    ok = (F.substr(F.col("whole"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start")) == F.col("text")) & (F.length("text") <= 600)
+    order = Window.partitionBy("key").orderBy("chunk_index")
+    w = w.withColumn("after", F.coalesce(F.lag("span_end").over(order), F.lit(0)) <= F.col("span_start"))
+    ok = F.col("after") & (F.substr(F.col("whole"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start")) == F.col("text")) & (F.length("text") <= 600)
     n = F.length(F.regexp_replace("text", r"(?U)\s", ""))
     g = w.groupBy("key").agg(F.bool_and(ok).alias("ok"), F.sum(n).alias("n"), F.max(F.length(F.regexp_replace("whole", r"(?U)\s", ""))).alias("m"))
-    return g.select("key", (F.col("ok") & (F.col("n") == F.col("m"))).alias("holds"))
+    return g.select("key", F.col("n").alias("n_solid"), (F.col("ok") & (F.col("n") == F.col("m"))).alias("holds"))
 
 
 @query("""WITH h AS (SELECT conv_id, turn, CASE WHEN length(text) < 200 THEN text END AS heading FROM conversations)
 SELECT conv_id, turn, last_value(heading IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM h""")
 def heading_carry(t):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return t.conversations.select("conv_id", "turn", F.last(F.when(F.length("text") < 200, F.col("text")), ignorenulls=True).over(w).alias("section"))
 

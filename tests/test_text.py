@@ -84,6 +84,28 @@ def test_sentences_and_windows():
     assert spans.windows("", 10) == [] and spans.windows("   ", 10) == []
 
 
+def test_windows_start_afresh_after_a_long_sentence():
+    t = "Short one. " + "word " * 12 + "end. Tail a. Tail b."
+    w = spans.windows(t, 25)
+    assert [t[s:e] for s, e, *_ in w] == ["Short one.", " word word word word word", " word word word word word", " word word end.", " Tail a. Tail b."]
+    assert [x[4] for x in w] == [True, False, False, False, True]
+    assert [(x[2], x[3]) for x in w[1:4]] == [(10, 75)] * 3 and w[0][2:4] == (0, 10) and w[4][2:4] == w[4][:2]
+    assert {x[5] for x in w if x[4]} == {None} and {x[5] for x in w if not x[4]} == {"oversized_sentence"}
+
+
+def test_normal_forms_scripts_and_acronyms(spark):
+    c = F.col("v")
+    assert one(spark, text.dedup_key(c), v="Straße \ufb01 X") == "strasse fi x"
+    assert one(spark, text.dedup_key(c), v="It’s  A") == "it's a"
+    assert one(spark, text.optional_text(c), v=" \u2460 ") == "1" and one(spark, text.optional_text(c), v="  ") is None
+    for v, want in (("ಕನ್ನಡ", "kannada"), ("മല", "malayalam"), ("ݐ", "arabic"), ("ᄀ", "hangul"), ("ԑ", "unknown"), ("かな", "japanese"), ("aб", "mixed"), ("12", "unknown")):
+        assert one(spark, text.script_bucket(c), v=v) == want
+    for v, want in (("WHO", "who"), ("W.H.O.", "who"), ("abcd", "abcd"), ("abcde", None), ("ABCDE", "abcde"), ("w h", None), ("a", None), ("ABCDEFGHI", None)):
+        assert one(spark, text.acronym_key(c), v=v) == want
+    assert one(spark, text.acronym_of(F.lit("WHO"), F.lit("World of the Health Organisation"))) is True
+    assert one(spark, text.acronym_of(F.lit("who"), F.lit("whole"))) is False
+
+
 def test_window_table_handles_nulls_and_no_rows(spark):
     d = spark.createDataFrame([("a", None), (None, "Hi there.")], "k string, t string")
     assert [(r.key, r.text) for r in spans.window_table(d, "k", "t", 50).collect()] == [(None, "Hi there.")]
