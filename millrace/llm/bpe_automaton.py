@@ -1,14 +1,19 @@
 """Byte-pair encoding by a tokenization automaton, and decoding by its arc labels.
 
-States of the automaton are tokens (the last one read, or the start); an arc to token b carries b as label.
-It begins as the automaton that allows every token after every token. Merges are compiled in rank order, each
-as a gadget: the pair (u, v) of rank k becomes one token, so from then on no path may show u and v side by
-side at an edge that is still open at time k. A state's right edge shows, over time, the right spine of its
-token's merge tree (each node until the merge that consumes it), an arc's left edge the left spine of its
-label. An arc is therefore cut iff some gadget k pairs a node u still open on the right edge (k before u's
-end) with a node v open on the left edge (k at or before v's end; equal ranks merge leftmost first). What is
-left is deterministic: each prefix of a word is spelled by exactly one path. Arcs are worked out from the
-gadgets when first met and then kept in a table, so encoding is table-driven.
+The automaton reads tokens: an arc labelled b leads to b's state, from which the tokens that may follow b leave.
+It begins as one state with an arc for every base token. Merges are compiled into it in rank order, each as a
+gadget: the merge of u and v into x puts an arc x wherever u may be followed by v, leading where v's arcs lead,
+and gives u's arcs a new state, a copy of the old one without its arc v, so that u and v can no longer stand side
+by side. All arcs of one label lead to one state throughout, so the automaton stays deterministic and gains at most
+one state a merge.
+
+A state's table lists the labels that are cut from it; all others leave it. Labels are numbered along the trees of
+left parts, latest merges first: a cut at rank k takes from a state the label v and the labels that later gadgets
+would have put there because of it, and these have consecutive numbers. So each gadget adds one interval, a state's
+table is a short sorted list of intervals, and an arc is one binary search in it.
+
+A word is encoded by running the automaton over it: each position is reached by the one label whose arc leaves the
+state of the position where it begins. Decoding looks up each id's label and emits the labels in order.
 
 Texts are split at special tokens, then at white space; each distinct chunk is normalised, cut by the
 pre-tokenizer's pattern and run through the automaton once per worker (bounded cache).
@@ -23,8 +28,12 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,7 +49,6 @@ _SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 _SPLIT = regex.compile(f"[{_SPACE}]+")
 #: Characters at which str.split() would also split.
 _ODD = regex.compile("[\x1c-\x1f]")
-_NEVER = 1 << 60
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,46 +59,44 @@ def byte_letters() -> dict[int, str]:
 
 
 class Automaton:
+    """``state``: where each label's arcs lead; ``place``: its number; a state's cut intervals are rows
+    ``first[state]`` to ``first[state + 1]`` of ``starts`` and ``stops``."""
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
-        self.vocab, self.end = vocab, end
-        self.token = {i: t for t, i in vocab.items()}
-        self.gadget: dict[int, int] = {}
-        born: dict[int, int] = {}
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        for k, (a, b) in enumerate(merges):
-            u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if born.get(u, -1) >= k or born.get(v, -1) >= k or w in born:
+        rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self.place, until = _numbers(vocab.values(), rules)
+        cuts: list[list[tuple[int, int]]] = [[]]
+        state = dict.fromkeys(vocab.values(), 0)
+        made = {x for _, _, x in rules}
+        for k, (u, v, x) in enumerate(rules):
+            if u in made or v in made or x not in made:
                 raise ValueError("merges must build each token once, after its parts")
-            self.gadget[u << 32 | v] = k
-            born[w] = k
-            self.right[w] = [(w, _NEVER), (v, k), *self.right.get(v, [])[1:]]
-            self.left[w] = [(w, _NEVER), (u, k), *self.left.get(u, [])[1:]]
-        self.arcs: dict[int, bool] = {}
+            made.discard(x)
+            state[x] = state[v]
+            cuts.append([*cuts[state[u]], (self.place[v], until(v, k))])
+            state[u] = len(cuts) - 1
+        # only states that some arc still leads to
+        used = {s: i for i, s in enumerate(dict.fromkeys(state.values()))}
+        tables = [_joined(cuts[s]) for s in used]
+        self.state = {t: used[s] for t, s in state.items()}
+        self.first = array("q", np.cumsum([0, *map(len, tables)]).tolist())
+        self.starts = array("i", chain.from_iterable((a for a, _ in t) for t in tables))
+        self.stops = array("i", chain.from_iterable((b for _, b in t) for t in tables))
         bare = [t for t in vocab if not (end and t.endswith(end))]
         self.inner = {t: vocab[t] for t in bare}
         self.final = {t[: -len(end)]: vocab[t] for t in vocab if end and t.endswith(end)} if end else self.inner
         self.longest = max(map(len, [*self.inner, *self.final]), default=1)
 
     def arc(self, state: int, label: int) -> bool:
-        key = state << 32 | label
-        known = self.arcs.get(key)
-        if known is None:
-            known = True
-            for u, u_end in self.right.get(state, [(state, _NEVER)]):
-                for v, v_end in self.left.get(label, [(label, _NEVER)]):
-                    k = self.gadget.get(u << 32 | v)
-                    if k is not None and k < u_end and k <= v_end:
-                        known = False
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            self.arcs[key] = known
-        return known
+        """Whether an arc with this label leaves the state."""
+        low, place = self.first[state], self.place[label]
+        i = bisect_right(self.starts, place, low, self.first[state + 1]) - 1
+        return i < low or self.stops[i] <= place
 
     def encode(self, word: str) -> list[int]:
         """Labels of the only path that spells ``word``."""
-        n, get, arc = len(word), self.arcs.get, self.arc
-        state = [-1] * (n + 1)
+        n, arc, state_of = len(word), self.arc, self.state
+        label = [-1] * (n + 1)
         since = [0] * (n + 1)
         inner, final, longest = self.inner.get, self.final.get, self.longest
         for i in range(1, n + 1):
@@ -99,13 +105,10 @@ class Automaton:
             j = last = since[i - 1]
             low = max(0, i - longest)
             while True:
-                label = find(word[j:i])
-                if label is not None:
-                    before = state[j]
-                    ok = True if not j else False if before < 0 else get(before << 32 | label)
-                    if arc(before, label) if ok is None else ok:
-                        state[i], since[i] = label, j
-                        break
+                here = find(word[j:i])
+                if here is not None and (not j or (label[j] >= 0 and arc(state_of[label[j]], here))):
+                    label[i], since[i] = here, j
+                    break
                 if j == last:
                     last, j = -1, i
                 j -= 1
@@ -115,11 +118,49 @@ class Automaton:
                     break
         out = []
         while n:
-            out.append(state[n])
+            out.append(label[n])
             n = since[n]
         return out[::-1]
 
 
+def _numbers(tokens, rules: list[tuple[int, int, int]]):
+    """Each token's number, parents before children in the trees of left parts and later merges before earlier ones;
+    and, for a token and a rank, where the numbers of it and of what later merges make from it end."""
+    kids: dict[int, list[tuple[int, int]]] = {}
+    for k, (u, _, x) in enumerate(rules):
+        kids.setdefault(u, []).append((k, x))
+    made = {x for _, _, x in rules}
+    place: dict[int, int] = {}
+    stop: dict[int, int] = {}
+    stack = [(t, False) for t in tokens if t not in made]
+    while stack:
+        t, done = stack.pop()
+        if done:
+            stop[t] = len(place)
+            continue
+        place[t] = len(place)
+        stack.append((t, True))
+        stack += [(x, False) for _, x in kids.get(t, ())]  # the last pushed, the latest merge, is numbered first
+
+    def until(token: int, rank: int) -> int:
+        older = kids.get(token, [])
+        i = bisect_left(older, (rank,))
+        return place[older[i - 1][1]] if i else stop[token]
+
+    return place, until
+
+
+def _joined(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(intervals):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Encoder:
     """A tokenizer file's text pipeline around the automaton: NFC, white space, lower case, pattern, byte letters."""
 
@@ -128,74 +169,64 @@ class Encoder:
         if [x["type"] for x in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or model["type"] != "BPE":
             raise ValueError("this tokenizer file's pipeline is not supported")
         self.automaton = Automaton(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")
-        self.raw = {i: i.to_bytes(4, "little") for i in self.automaton.token}
+        self.raw = {i: i.to_bytes(4, "little") for i in model["vocab"].values()}
+        self.label = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.marks = [t[:2] for t in self.special]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
         self.letters = byte_letters()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.ids = _Lazy(self, 0)
-        self.labels = _Lazy(self, 1)
+        self.words: dict[str, bytes] = {}
+        self.chunks = _Chunks(self)
 
-    def word(self, piece: str) -> tuple[bytes, str]:
+    def word(self, piece: str) -> bytes:
         found = self.words.get(piece)
         if found is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            a = self.automaton
-            ids = a.encode("".join(map(self.letters.__getitem__, piece.encode("utf-8", "surrogatepass"))))
-            found = self.words[piece] = (b"".join(map(self.raw.__getitem__, ids)), " ".join(map(a.token.__getitem__, ids)))
+            ids = self.automaton.encode("".join(map(self.letters.__getitem__, piece.encode("utf-8", "surrogatepass"))))
+            found = self.words[piece] = b"".join(map(self.raw.__getitem__, ids))
         return found
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        """Ids (little-endian, 4 bytes each) and labels of text without white space and special tokens."""
+    def chunk(self, text: str) -> bytes:
+        """Ids (little-endian, 4 bytes each) of text without white space and special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         else:
             text = text.lower()
-        found = [self.word(p) for p in self.pieces.findall(text)]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        return b"".join(map(self.word, self.pieces.findall(text)))
 
-    def _plain(self, text: str) -> tuple[bytes, str]:
+    def _plain(self, text: str) -> bytes:
         chunks = [c for c in _SPLIT.split(text) if c] if _ODD.search(text) else text.split()
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-            self.labels.clear()
-        return b"".join(map(self.ids.__getitem__, chunks)), " ".join(filter(None, map(self.labels.__getitem__, chunks)))
+        if len(self.chunks) > CACHE:
+            self.chunks.clear()
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """All ids as bytes, and the decoding: the arcs' labels, joined as a tokenizer without decoder joins them."""
+    def encode(self, text: str) -> bytes:
+        """All ids as bytes."""
         if not any(m in text for m in self.marks):
             return self._plain(text)
-        ids, labels = [], []
-        for part in self.cut.split(text):
-            if part in self.special:
-                ids.append(self.special[part].to_bytes(4, "little"))
-                labels.append(part)
-            elif part:
-                i, s = self._plain(part)
-                ids.append(i)
-                labels.append(s)
-        return b"".join(ids), " ".join(filter(None, labels))
-
-
-class _Lazy(dict):
-    """chunk -> ids, or chunk -> labels; a miss fills both."""
-
-    def __init__(self, encoder: Encoder, which: int):
+        return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self._plain(p) for p in self.cut.split(text) if p)
+
+    def decode(self, ids: bytes) -> str:
+        """The ids' labels, joined as a tokenizer without decoder joins them."""
+        return " ".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class _Chunks(dict):
+    """chunk -> ids; long ones are not kept."""
+
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.which = encoder, which
+        self.encoder = encoder
 
-    def __missing__(self, chunk: str):
-        e = self.encoder
-        found = e.chunk(chunk)
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.encoder.chunk(chunk)
         if len(chunk) < 200:
-            dict.__setitem__(e.ids, chunk, found[0])
-            dict.__setitem__(e.labels, chunk, found[1])
-        return found[self.which]
+            self[chunk] = found
+        return found
 
 
 _encoders: dict[str, Encoder] = {}
@@ -221,10 +252,10 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for text in b.column(1):
-                ids, labels = e.encode(text.as_py() or "")
+                ids = e.encode(text.as_py() or "")
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(labels.encode("utf-8", "surrogatepass")).hexdigest())
+                text_sha.append(hashlib.sha256(e.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(run, SCHEMA)
