@@ -1,24 +1,31 @@
 """Personal data: fixed base rules, then bootstrapped contextual extraction of identifiers they miss.
 
-One pass over the texts finds the base spans and every other identifier-like token with the words before it.
-Base spans are seeds. A pattern is the one or two lower-cased words before a token; it is joined to the
-instances it precedes in a bipartite graph. Spark scores the graph for ``ROUNDS`` rounds: a pattern's confidence
-in a kind is the score its instances carry for that kind over the weight of all its identifier-like tokens
-(plus ``SMOOTHING``, so few sightings never suffice); a loose candidate's score is the noisy-or of its
-patterns' confidences. Candidates whose best pattern reaches ``CONFIDENT`` in the end become spans of their kind.
+One pass over the texts finds the base spans and every other identifier-like token, each with its patterns: the
+last word before it with the marks between (``token = "``), the last two words, and its own shape (``+9 (999)
+999-9999``). Base spans are seeds; so are long hexadecimal strings, of the added kind ``secret``, which are not base
+spans and count only where a pattern vouches for them. Patterns and instances make a bipartite graph. Spark scores
+it for ``ROUNDS`` rounds: a pattern's confidence in a kind is the score its instances carry for that kind over the
+weight of all its identifier-like tokens (plus ``SMOOTHING``, so few sightings never suffice); a loose candidate's
+score is the noisy-or of its patterns' confidences. Candidates whose best pattern reaches ``CONFIDENT`` in the end
+become spans of their kind.
 
 Loose candidates: addresses with a spelt-out or bracketed at/dot, dotted quads with bracketed or spaced dots,
-card numbers with other separators that pass Luhn, phone numbers without a plus sign.
+card numbers with other separators that pass Luhn, phone numbers without a plus sign, phone numbers that a base
+match swallowed together with what follows, and strings of 16 or more letters and digits (secrets).
+
+Texts are scanned in linear time; patterns and instances of any length count whole (long ones as their hash).
 
 Cases: null text is empty; a document without spans has zero counts, an empty span list and the hash of the
-empty string; repeated rows are judged one by one (equal values share a node of the graph); an empty table
-gives an empty result; extra columns are not read. Offsets are code points, ends exclusive.
+empty string; a candidate that overlaps a base span or an earlier candidate is dropped; repeated rows are judged one
+by one (equal values share a node of the graph); an empty table gives an empty result; extra columns are not read.
+Offsets are code points, ends exclusive; ties in the order of spans go by end.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import columns, cut
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 ROUNDS = 3
 SMOOTHING = 3.0
 CONFIDENT = 0.8
@@ -46,7 +54,12 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[._/\x20-]{1,2}[0-9]{2,7}){2,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+(.])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}(?![0-9])"),
 }
-_OTHER = re.compile(r"\S*[0-9@]\S*")
+_HEX = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9+/_-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}+")
+# only from the beginning of a run without white space, so that a run is read once
+_OTHER = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+_WORD = re.compile(r"[^\W\d_]+")
+_DIGITS, _LETTERS = re.compile("[0-9]"), re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -87,46 +100,99 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _before(text: str, start: int) -> list[str]:
-    """The patterns: the last word, and the last two words, before ``start``."""
-    words = [w for w in text[max(0, start - 80) : start].lower().split() if not _DIGIT.search(w)][-2:]
-    return [" ".join(words[-1:]), " ".join(words)] if len(words) == 2 else words
+class _Taken:
+    """Disjoint spans in order; overlap by binary search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, s: int, e: int) -> bool:
+        i = bisect_right(self.starts, s)
+        return not (i and self.ends[i - 1] > s) and not (i < len(self.starts) and self.starts[i] < e)
+
+    def add(self, s: int, e: int) -> None:
+        i = bisect_right(self.starts, s)
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+
+
+def _short(x: str) -> str:
+    """Any string as one of at most 100 characters; a longer one as its hash."""
+    return x if len(x) <= 100 else hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def shape(value: str) -> str:
+    """Digits as 9, runs of letters as a."""
+    return _LETTERS.sub("a", _DIGITS.sub("9", value))
+
+
+def _patterns(text: str, words: list[tuple[int, int]], firsts: list[int], s: int, e: int) -> list[str]:
+    """The last word before ``s`` with the marks between, the last two words, and the value's shape."""
+    i = bisect_right(firsts, s)
+    while i and words[i - 1][1] > s:
+        i -= 1
+    before = [text[words[i - k][0] : s] for k in (1, 2) if i >= k]
+    return list(dict.fromkeys([*(_short(" ".join(x.lower().split())) for x in before), _short("shape " + shape(text[s:e]))]))
+
+
+def _swallowed(text: str) -> Iterator[tuple[int, int]]:
+    """The longest beginning, up to a blank, of each dropped phone match that has as many digits as a phone number."""
+    for m in _PHONE.finditer(text):
+        if len(_digits(m[0])) > 15:
+            best, seen, at = 0, 0, m.start()
+            for part in m[0].split(" "):
+                seen += len(_digits(part))
+                at += len(part) + 1
+                if seen > 15:
+                    break
+                if seen >= 9 and part[-1:].isdigit():
+                    best = at - 1
+            if best:
+                yield m.start(), best
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, role) of all identifier-like tokens; role is seed, loose or other (kind '')."""
+    """(kind, start, end, role) of all identifier-like tokens; role is seed, strict (a seed that is no base span),
+    loose or other (kind '')."""
     out = [(k, s, e, "seed") for k, s, e in base]
     if not (_DIGIT.search(text) or "@" in text or "[" in text or "(" in text or "{" in text):
         return out
-    taken = [(s, e) for _, s, e in base]
-
-    def free(s: int, e: int) -> bool:
-        return not any(s < b and a < e for a, b in near(s, e))
-
-    def near(s: int, e: int) -> list[tuple[int, int]]:
-        return [t for t in taken if t[0] < e and s < t[1]]
-
+    taken = _Taken([(s, e) for _, s, e in base])
+
+    def take(kind: str, s: int, e: int, role: str) -> None:
+        if taken.free(s, e):
+            out.append((kind, s, e, role))
+            taken.add(s, e)
+
+    for m in _HEX.finditer(text):
+        take("secret", *m.span(), "strict")
+    if "+" in text:
+        for s, e in _swallowed(text):
+            take("phone", s, e, "loose")
     for kind in KINDS:
         if kind != "email" or "@" in text or "at" in text or "AT" in text:
             for m in _LOOSE[kind].finditer(text):
                 d = _digits(m[0])
                 fits = {"email": True, "ip": all(int(x) <= 255 for x in re.findall("[0-9]+", m[0])), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 7 <= len(d) <= 15}[kind]
-                if fits and free(*m.span()):
-                    out.append((kind, *m.span(), "loose"))
-                    taken.append(m.span())
-    taken.sort()
-    i, end = 0, len(taken)
+                if fits:
+                    take(kind, *m.span(), "loose")
+    for m in _KEY.finditer(text):
+        take("secret", *m.span(), "loose")
     for m in _OTHER.finditer(text):
-        s, e = m.span()
-        while i < end and taken[i][1] <= s:
-            i += 1
-        if not (i < end and taken[i][0] < e):
-            out.append(("", s, e, "other"))
+        if taken.free(*m.span()):
+            out.append(("", *m.span(), "other"))
     return out
 
 
 def render(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (ALL_KINDS.index(x[0]), x[1], x[2])))
 
 
 FOUND = "uid long, doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base string, seen array<struct<kind:string,start:int,stop:int,role:string,instance:string,patterns:array<string>>>"
@@ -143,10 +209,13 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, k in enumerate(KINDS):
                 counts[i].append(sum(x[0] == k for x in base))
             bases.append(render(base))
+            found = candidates(text, base)
+            words = [m.span() for m in _WORD.finditer(text)] if found else []
+            firsts = [w[0] for w in words]
             rows = []
-            for k, s, e, role in candidates(text, base):
-                value = f"{k}:{' '.join(text[s:e].lower().split())}" if role != "other" else ""
-                rows.append({"kind": k, "start": s, "stop": e, "role": role, "instance": value[:300], "patterns": _before(text, s)})
+            for k, s, e, role in found:
+                value = _short(f"{k}:{' '.join(text[s:e].lower().split())}") if role != "other" else ""
+                rows.append({"kind": k, "start": s, "stop": e, "role": role, "instance": value, "patterns": _patterns(text, words, firsts, s, e)})
             seen.append(rows)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(seen, kind)], ["uid", "doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"])
 
@@ -155,7 +224,7 @@ def _confidences(edges: DataFrame) -> DataFrame:
     """pattern, kind, confidence: scores passed over the pattern-instance graph."""
     # weights of other and loose tokens count against a pattern; seeds count for it
     total = edges.groupBy("pattern").agg(F.sum("w").alias("total"))
-    seeds = edges.where("role = 'seed'").groupBy("pattern", "kind").agg(F.sum("w").alias("seeds"), F.count("*").alias("kinds"))
+    seeds = edges.where("role IN ('seed', 'strict')").groupBy("pattern", "kind").agg(F.sum("w").alias("seeds"), F.count("*").alias("kinds"))
     # a pattern must have been induced by seeds of at least two different values
     patterns = cut(seeds.where("kinds >= 2").join(total, "pattern").select("pattern", "kind", F.col("seeds").cast("double").alias("seeds"), "total"), "patterns")
     scored = patterns.withColumn("confidence", F.col("seeds") / (F.col("total") + SMOOTHING))
@@ -176,13 +245,13 @@ def _extract(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = seen.select("kind", "role", F.when(F.col("role") != "other", F.col("instance")).alias("instance"), F.explode("patterns").alias("pattern"))
     edges = cut(edges.groupBy("kind", "role", "instance", "pattern").agg(F.count("*").alias("w")), "edges")
     sure = _confidences(edges).where(F.col("confidence") >= CONFIDENT).select("pattern", "kind")
-    loose = seen.where("role = 'loose'").select("uid", "kind", "start", "stop", F.explode("patterns").alias("pattern"))
+    loose = seen.where("role IN ('loose', 'strict')").select("uid", "kind", "start", "stop", F.explode("patterns").alias("pattern"))
     new = loose.join(sure, ["pattern", "kind"], "left_semi").select("uid", "kind", "start", "stop").distinct()
     return found.drop("seen"), new.groupBy("uid").agg(F.collect_list(F.struct(_order(F.col("kind")).alias("o"), "start", "stop", "kind")).alias("new"))
 
 
 def _order(kind: F.Column) -> F.Column:
-    return F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
+    return F.array_position(F.array(*[F.lit(k) for k in ALL_KINDS]), kind)
 
 
 def _text(spans: F.Column) -> F.Column:

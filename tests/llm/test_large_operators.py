@@ -131,6 +131,68 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert masked[0].n_chars == len(masked[0].text) and "@" not in masked[0].text
 
 
+def test_keys_and_swallowed_numbers_are_discovered(spark):
+    r = random.Random(4)
+    digits = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(i, f'{word()} {word()} token = "{digits(40, "0123456789abcdef")}" {word()} call +1 (555) 555-{1000 + i} {word()} {word()} 5123{i:03d}') for i in range(30)]
+    late = [(50, 'x token = "zq81XkPw93LmNt02Vb77" y'), (51, f"commit {digits(40, '0123456789abcdef')} done"), (52, "call +1 (555) 555-4444 10.20.30.40 ok"), (53, "version zq81XkPw93LmNt02Vb77 here")]
+    d = spark.createDataFrame(rows + late, "doc_id long, text string")
+    got = {x.doc_id: x for x in personal_data.detect(d).collect()}
+    text = dict(rows + late)
+    cut = lambda i: [(k, text[i][int(s) : int(e)]) for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x)]
+    assert all([k for k, _ in cut(i)] == ["phone", "secret"] and cut(i)[1][1] == t.split('"')[1] for i, t in rows)
+    assert cut(50) == [("secret", "zq81XkPw93LmNt02Vb77")] and cut(51) == [] == cut(53)
+    assert cut(52) == [("ip", "10.20.30.40"), ("phone", "+1 (555) 555-4444")] and (got[52].n_phone, got[52].added) == (0, 1)
+
+
+def plain_confidences(edges):
+    """The rounds of the pattern graph on plain dicts; edges are (kind, role, instance, pattern, weight)."""
+    total, seeds, values = Counter(), Counter(), defaultdict(set)
+    for k, role, x, p, w in edges:
+        total[p] += w
+        if role in ("seed", "strict"):
+            seeds[p, k] += w
+            values[p, k].add((role, x))
+    sure = {pk: n / (total[pk[0]] + personal_data.SMOOTHING) for pk, n in seeds.items() if len(values[pk]) >= 2}
+    for _ in range(personal_data.ROUNDS):
+        miss = defaultdict(lambda: 1.0)
+        loose = [(k, x, p, w) for k, role, x, p, w in edges if role == "loose" and (p, k) in sure]
+        for k, x, p, _ in loose:
+            miss[k, x] *= 1 - min(sure[p, k], 0.999)
+        gained = Counter()
+        for k, x, p, w in loose:
+            gained[p, k] += w * (1 - miss[k, x])
+        sure = {(p, k): (seeds[p, k] + gained[p, k]) / (total[p] + personal_data.SMOOTHING) for p, k in sure}
+    return sure
+
+
+def test_pattern_graph_against_brute_force(spark):
+    r = random.Random(6)
+    edges = {}
+    for _ in range(400):
+        role = r.choice(["seed", "strict", "loose", "loose", "other"])
+        key = ("" if role == "other" else r.choice(personal_data.ALL_KINDS), role, None if role == "other" else f"v{r.randint(0, 30)}", f"p{r.randint(0, 12)}")
+        edges[key] = r.randint(1, 9)
+    rows = [(*k, w) for k, w in edges.items()]
+    d = spark.createDataFrame(rows, "kind string, role string, instance string, pattern string, w long")
+    got = {(x.pattern, x.kind): x.confidence for x in personal_data._confidences(d).collect()}
+    want = plain_confidences(rows)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_scanning_is_linear():
+    import time
+
+    for t in ("x" * 500_000 + "1" + "y" * 500_000, "[" * 300_000, "a1" * 500_000, "1 " * 300_000, "@a" * 300_000, "+1 " * 200_000, ".5" * 300_000):
+        began = time.process_time()
+        found = personal_data.candidates(t, personal_data.base_spans(t))
+        words = [m.span() for m in personal_data._WORD.finditer(t)]
+        for _, s, e, _ in found[:1000]:
+            personal_data._patterns(t, words, [w[0] for w in words[:1]], s, e)
+        assert time.process_time() - began < 8, t[:10]
+
+
 def test_personal_edges(spark):
     got = personal_data.detect(edge(spark)).collect()
     assert len(got) == 8 and {r.spans for r in got} == {""}
