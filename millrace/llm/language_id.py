@@ -7,8 +7,9 @@ the recurrent state lives within a word, a worker evaluates each distinct word o
 texts cost little more than splitting them.
 
 Training uses a bounded sample of labelled rows outside the held-out fold (``DOCS_PER_LANGUAGE`` documents a
-language, at most ``MAX_DOCS`` in all, ``WORDS_PER_DOC`` words spread over each whole text), chosen by a hash of
-doc_id, so it is the same at every run. doc_id, source and lang are not inputs of a prediction.
+language, at most ``MAX_DOCS`` in all), chosen by a hash of doc_id, so it is the same at every run. All words of
+their whole texts are learned from, in as many rounds as give at least ``LEAST_WORDS`` word visits, one at least.
+doc_id, source and lang are not inputs of a prediction.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; without any labelled training row all is
 ``und``; one learned language gives it score 1; repeated rows are predicted each; null doc_id hashes as the
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import columns, crc_mod
 
-DOCS_PER_LANGUAGE, MAX_DOCS, WORDS_PER_DOC = 400, 20_000, 100
-WINDOW, HIDDEN, EPOCHS, BATCH, RATE = 32, 16, 3, 256, 0.01
+DOCS_PER_LANGUAGE, MAX_DOCS = 400, 20_000
+WINDOW, HIDDEN, BATCH, RATE = 32, 16, 256, 0.01
+LEAST_WORDS, MOST_ROUNDS = 400_000, 3
 CACHE = 100_000
 #: Below this mean probability a document's language counts as not told.
 MIN_SCORE = 0.3
@@ -119,8 +121,9 @@ class BiGRU:
             g[d + "x"], g[d + "u"] = gx, gu
         return loss, g
 
-    def fit(self, words: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = 11) -> None:
+    def fit(self, words: list[tuple[bytes, int]], epochs: int | None = None, seed: int = 11) -> None:
         """Adam over batches of equal length in a fixed random order."""
+        epochs = epochs or min(MOST_ROUNDS, -(-LEAST_WORDS // max(1, len(words))))
         r = np.random.default_rng(seed)
         by_length: dict[int, list] = defaultdict(list)
         for w, y in words:
@@ -216,16 +219,6 @@ def _send(docs: DataFrame, model: BiGRU) -> tuple:
     return key, docs.sparkSession.sparkContext.broadcast(model)
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for cell in b.column(1):
-            words = [w for w in cell.as_py().lower().split() if has_letter(w)]
-            most = min(len(words), WORDS_PER_DOC)
-            out.append([words[i * len(words) // most] for i in range(most)])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["lang", "words"])
-
-
 def train(docs: DataFrame, folds: int = 5) -> BiGRU | None:
     """A model of the lang values of labelled rows outside fold 0, or None if there are none."""
     rows = columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != 0))
@@ -236,10 +229,10 @@ def train(docs: DataFrame, folds: int = 5) -> BiGRU | None:
     # the rows of each language with the smallest hashes, about ``most`` of them
     place = (F.xxhash64("doc_id", F.lit("sample")).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("u")
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))])
-    sample = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(_spread, "lang string, words array<string>").collect()
+    sample = rows.where(place < share[F.col("lang")]).select("lang", "text").collect()  # a bounded number of rows
     labels = sorted(counts)
     at = {k: i for i, k in enumerate(labels)}
-    words = [(part, at[r["lang"]]) for r in sample for w in r["words"] for part in windows(w)]
+    words = [(part, at[r["lang"]]) for r in sample for w in r["text"].lower().split() if has_letter(w) for part in windows(w)]
     words.sort()
     model = BiGRU(labels)
     model.fit(words)
