@@ -50,13 +50,6 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a scratch table made by ``cut`` that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop(spark, path)
-        _made[:] = [m for m in _made if not path.endswith(m[1].rsplit("/", 1)[1])]
-
-
 def sweep() -> None:
     """Delete the scratch tables made so far (called at exit; call it earlier once the results are written)."""
     while _made:

@@ -12,7 +12,7 @@ distinct n-grams once, as sorted hash keys with local counts, to the bucket that
 n-gram is one entry a chunk, whatever its frequency), and gets the corpus counts back in the same order. There are
 as many buckets as keep each below about ``BUCKET_TOKENS`` tokens, however large the corpus. Chunks then hold
 everything their documents need: they give the sufficient statistics of the EM (a table bounded by buckets and
-bins) and, with the learned weights, the scores. Unigram keys are 64-bit, bigram keys 56-bit hashes; a collision
+bins) and, with the learned weights, the scores; texts and counts are gathered by chunk for each of the two. Unigram keys are 64-bit, bigram keys 56-bit hashes; a collision
 adds two counts.
 
 Cases: null text is empty and has one token, the end; without training rows N = V = 0 and every token has
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import columns, crc_mod, cut, discard, mix64, partitions, settle
+from millrace.llm.common import columns, crc_mod, cut, mix64, partitions, settle
 
 CHUNK_TOKENS, BUCKET_TOKENS, FOLDS = 400_000, 1_000_000, 10
 #: The maximisation ends when no weight moves by more than this, or after so many rounds.
@@ -239,27 +239,29 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_pieces(rows)])
 
 
-CHUNK = "chunk long, payload binary, stat binary"
+def _counted(table: pa.Table) -> tuple[Grams, np.ndarray, np.ndarray]:
+    """One chunk's text with the corpus counts of its words and distinct bigrams."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True), key=lambda r: r[:2])
+    g = Grams(unsqueeze(next(r[2] for r in rows if r[0] == "text")))
+    order1, _, order2, _ = g.keys()
+    counts = []
+    for kind, order in (("1", order1), ("2", order2)):
+        out = np.empty(len(order), np.int64)
+        out[order] = np.concatenate([unpack_counts(r[2]) for r in rows if r[0] == kind])
+        counts.append(out)
+    one, two = counts
+    one[0] = one[1]  # as many starts as ends
+    return g, one, two
 
 
-def _join(n: int):
-    """One chunk's text with the corpus counts of its words and distinct bigrams, and its part of the EM's statistics."""
+STATISTICS = "b long, i long, j long, w double, p2 double, p1 double"
+
+
+def _learned(n: int):
+    """A chunk's part of the EM's statistics."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload", "chunk")), strict=True), key=lambda r: r[:2])
-        text = next(r for r in rows if r[0] == "text")
-        g = Grams(unsqueeze(text[2]))
-        order1, _, order2, _ = g.keys()
-        counts = []
-        for kind, order in (("1", order1), ("2", order2)):
-            out = np.empty(len(order), np.int64)
-            out[order] = np.concatenate([unpack_counts(r[2]) for r in rows if r[0] == kind])
-            counts.append(out)
-        del rows, order1, order2
-        one, two = counts
-        one[0] = one[1]  # as many starts as ends
-        stat = squeeze(_statistics(g, one, two, n))
-        return pa.table({"chunk": pa.array([text[3]], pa.int64()), "payload": pa.array([pickle.dumps((text[2], pack_counts(one), pack_counts(two)))], pa.binary()), "stat": pa.array([stat], pa.binary())})
+        return pa.table(dict(zip([f.split()[0] for f in STATISTICS.split(", ")], _statistics(*_counted(table), n), strict=True)))
 
     return run
 
@@ -282,12 +284,6 @@ def _statistics(g: Grams, one: np.ndarray, two: np.ndarray, n: int) -> list[np.n
     return [u >> 24, (u >> 12 & 4095) - 1, (u & 4095) - 1, *(np.bincount(inverse, weights=w * x, minlength=len(u)).astype(float) for x in (np.ones(len(w)), p2, p1))]
 
 
-def _open_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for stat in b.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unsqueeze(stat.as_py())], ["b", "i", "j", "w", "p2", "p1"])
-
-
 def learn(table: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights (bigram, unigram, uniform) of each context bucket by expectation-maximisation; row 0 also serves new contexts."""
     top = max((int(r[0]) for r in table), default=0)
@@ -311,32 +307,22 @@ def learn(table: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
     return out
 
 
-def _score(n: int, v: int, weights: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for payload in b.column(0):
-                text, *counts = pickle.loads(payload.as_py())
-                g, one, two = Grams(unsqueeze(text)), *map(unpack_counts, counts)
-                cp, cc = one[g.prev], one[g.cur]
-                bucket = np.minimum(np.floor(np.log2(np.maximum(cp, 1))).astype(np.int64), len(weights) - 1)
-                x = weights[bucket]
-                p = x[:, 0] * two / np.maximum(cp, 1) + x[:, 1] * cc / max(n, 1) + x[:, 2] / (v + 1)
-                each = np.empty(len(g.order))
-                each[g.order] = np.repeat(np.log10(p), g.counts)
-                base = np.log10((one + 0.1) / (n + 0.1 * (v + 1)))
-                tokens, lengths = g.c["tokens"], g.c["lengths"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(g.c["uids"]),
-                        pa.array(g.c["ids"], pa.int64()),
-                        pa.array(g.c["held"]),
-                        pa.array(lengths),
-                        pa.array(np.add.reduceat((one > 0)[tokens].astype(np.int64), g.starts)),
-                        pa.array(np.add.reduceat(base[tokens], g.starts)),
-                        pa.array(np.add.reduceat(each, g.starts)),
-                    ],
-                    [f.split()[0] for f in PART.split(", ")],
-                )
+def _scored(n: int, v: int, weights: np.ndarray):
+    """A chunk's documents, or parts of them, scored."""
+
+    def run(table: pa.Table) -> pa.Table:
+        g, one, two = _counted(table)
+        cp, cc = one[g.prev], one[g.cur]
+        bucket = np.minimum(np.floor(np.log2(np.maximum(cp, 1))).astype(np.int64), len(weights) - 1)
+        x = weights[bucket]
+        p = x[:, 0] * two / np.maximum(cp, 1) + x[:, 1] * cc / max(n, 1) + x[:, 2] / (v + 1)
+        each = np.empty(len(g.order))
+        each[g.order] = np.repeat(np.log10(p), g.counts)
+        base = np.log10((one + 0.1) / (n + 0.1 * (v + 1)))
+        tokens = g.c["tokens"]
+        sums = [np.add.reduceat(a, g.starts) for a in ((one > 0)[tokens].astype(np.int64), base[tokens], each)]
+        columns = [pa.array(g.c["uids"]), pa.array(g.c["ids"], pa.int64()), pa.array(g.c["held"]), pa.array(g.c["lengths"]), *map(pa.array, sums)]
+        return pa.table(dict(zip([f.split()[0] for f in PART.split(", ")], columns, strict=True)))
 
     return run
 
@@ -355,13 +341,10 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     settle(docs.sparkSession)  # only now: the session holds on to the last write until another job has run
     n, v = sum(s[0] for s in sums), sum(s[1] for s in sums)
     own = texts.select("chunk", F.lit(-1).alias("bucket"), F.lit("text").alias("kind"), "payload")
-    joined = own.unionAll(counts.where("chunk >= 0")).groupBy("chunk").applyInArrow(_join(n), CHUNK)
-    chunks = cut(joined, "chunks", "none")
-    discard(docs.sparkSession, texts)
-    discard(docs.sparkSession, counts)
-    table = chunks.select("stat").mapInArrow(_open_statistics, "b long, i long, j long, w double, p2 double, p1 double")
-    table = table.groupBy("b", "i", "j").agg(F.sum("w"), F.sum("p2"), F.sum("p1")).collect()  # at most buckets x bins x bins rows
+    # gathered once for the statistics and once for the scores: what was gathered is as large as the tables, and not kept
+    whole = own.unionAll(counts.where("chunk >= 0")).groupBy("chunk")
+    table = whole.applyInArrow(_learned(n), STATISTICS).groupBy("b", "i", "j").agg(F.sum("w"), F.sum("p2"), F.sum("p1")).collect()  # at most buckets x bins x bins rows
     settle(docs.sparkSession)
-    parts = chunks.select("payload").mapInArrow(_score(n, v, learn(sorted(table), v)), PART)
+    parts = whole.applyInArrow(_scored(n, v, learn(sorted(table), v)), PART)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     return parts.groupBy("uid", "doc_id", "held_out").agg(*sums).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
