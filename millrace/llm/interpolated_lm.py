@@ -12,8 +12,8 @@ distinct n-grams once, as sorted hash keys with local counts, to the bucket that
 n-gram is one entry a chunk, whatever its frequency), and gets the corpus counts back in the same order. There are
 as many buckets as keep each below about ``BUCKET_TOKENS`` tokens, however large the corpus. Chunks then hold
 everything their documents need: they give the sufficient statistics of the EM (a table bounded by buckets and
-bins) and, with the learned weights, the scores; texts and counts are gathered by chunk for each of the two. Unigram keys are 64-bit, bigram keys 56-bit hashes; a collision
-adds two counts.
+bins) and, with the learned weights, the scores; texts and counts are gathered by chunk for each of the two. Unigram
+keys are 64-bit hashes; bigram keys have ``SPARE`` bits more than the number of tokens; a collision adds two counts.
 
 Cases: null text is empty and has one token, the end; without training rows N = V = 0 and every token has
 probability 1; null doc_id hashes as the empty text; repeated rows count and score each; a document of any length
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import columns, crc_mod, cut, mix64, partitions, settle
 
-CHUNK_TOKENS, BUCKET_TOKENS, FOLDS = 400_000, 1_000_000, 10
+CHUNK_TOKENS, BUCKET_TOKENS, FOLDS = 700_000, 1_000_000, 10
+#: Bits of a bigram's key beyond those that number the corpus's tokens: at any size one bigram in 2^SPARE shares its key.
+SPARE = 20
 #: The maximisation ends when no weight moves by more than this, or after so many rounds.
 STILL, ROUNDS = 1e-9, 5000
 START, END = b"\n<start>", b"\n<end>"
@@ -152,11 +154,11 @@ class Grams:
         self.counts = np.diff(self.first, append=len(codes))
         self.prev, self.cur = np.divmod(codes[self.first], v)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Orders and sorted keys of the words and of the distinct bigrams; alike before sending and on return."""
         h = self.c["hashes"]
         with np.errstate(over="ignore"):
-            two = mix64(h[self.prev] * _P + mix64(h * _Q)[self.cur]) >> np.uint64(8)
+            two = mix64(h[self.prev] * _P + mix64(h * _Q)[self.cur]) >> np.uint64(64 - bits)
         order1, order2 = np.argsort(h), np.argsort(two)
         return order1, h[order1], order2, two[order2]
 
@@ -201,7 +203,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(chunk, number)
 
 
-def _send(buckets: int):
+def _send(buckets: int, size: int):
     """Each chunk's distinct n-grams with training counts, as pieces for the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +211,9 @@ def _send(buckets: int):
             for number, payload in zip(*b.columns, strict=True):
                 g = Grams(unsqueeze(payload.as_py()))
                 one, two = g.training()
-                order1, keys1, order2, keys2 = g.keys()
+                order1, keys1, order2, keys2 = g.keys(size)
                 del g
-                for kind, keys, counts, bits in (("2", keys2, two[order2], 56), ("1", keys1, one[order1], 64)):
+                for kind, keys, counts, bits in (("2", keys2, two[order2], size), ("1", keys1, one[order1], 64)):
                     at = cuts(keys, bits, buckets)
                     yield _pieces([(number.as_py(), i, kind, pickle.dumps((*pack_keys(keys[x:y]), pack_counts(counts[x:y])))) for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x])
 
@@ -239,11 +241,11 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_pieces(rows)])
 
 
-def _counted(table: pa.Table) -> tuple[Grams, np.ndarray, np.ndarray]:
+def _counted(table: pa.Table, size: int) -> tuple[Grams, np.ndarray, np.ndarray]:
     """One chunk's text with the corpus counts of its words and distinct bigrams."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True), key=lambda r: r[:2])
     g = Grams(unsqueeze(next(r[2] for r in rows if r[0] == "text")))
-    order1, _, order2, _ = g.keys()
+    order1, _, order2, _ = g.keys(size)
     counts = []
     for kind, order in (("1", order1), ("2", order2)):
         out = np.empty(len(order), np.int64)
@@ -257,11 +259,11 @@ def _counted(table: pa.Table) -> tuple[Grams, np.ndarray, np.ndarray]:
 STATISTICS = "b long, i long, j long, w double, p2 double, p1 double"
 
 
-def _learned(n: int):
+def _learned(n: int, size: int):
     """A chunk's part of the EM's statistics."""
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.table(dict(zip([f.split()[0] for f in STATISTICS.split(", ")], _statistics(*_counted(table), n), strict=True)))
+        return pa.table(dict(zip([f.split()[0] for f in STATISTICS.split(", ")], _statistics(*_counted(table, size), n), strict=True)))
 
     return run
 
@@ -307,11 +309,11 @@ def learn(table: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
     return out
 
 
-def _scored(n: int, v: int, weights: np.ndarray):
+def _scored(n: int, v: int, weights: np.ndarray, size: int):
     """A chunk's documents, or parts of them, scored."""
 
     def run(table: pa.Table) -> pa.Table:
-        g, one, two = _counted(table)
+        g, one, two = _counted(table, size)
         cp, cc = one[g.prev], one[g.cur]
         bucket = np.minimum(np.floor(np.log2(np.maximum(cp, 1))).astype(np.int64), len(weights) - 1)
         x = weights[bucket]
@@ -335,7 +337,8 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     texts = cut(docs.mapInArrow(_read, TEXT), "texts", "none")
     total = texts.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(2 * partitions(docs.sparkSession), -(-total // BUCKET_TOKENS))
-    keys = texts.select("chunk", "payload").mapInArrow(_send(buckets), PIECE)
+    size = min(64, int(total).bit_length() + SPARE)
+    keys = texts.select("chunk", "payload").mapInArrow(_send(buckets, size), PIECE)
     counts = cut(keys.groupBy("bucket").applyInArrow(_count, PIECE), "counts", "none")
     sums = [pickle.loads(r[0]) for r in counts.where("chunk = -1").select("payload").collect()]  # a row a bucket
     settle(docs.sparkSession)  # only now: the session holds on to the last write until another job has run
@@ -343,8 +346,8 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     own = texts.select("chunk", F.lit(-1).alias("bucket"), F.lit("text").alias("kind"), "payload")
     # gathered once for the statistics and once for the scores: what was gathered is as large as the tables, and not kept
     whole = own.unionAll(counts.where("chunk >= 0")).groupBy("chunk")
-    table = whole.applyInArrow(_learned(n), STATISTICS).groupBy("b", "i", "j").agg(F.sum("w"), F.sum("p2"), F.sum("p1")).collect()  # at most buckets x bins x bins rows
+    table = whole.applyInArrow(_learned(n, size), STATISTICS).groupBy("b", "i", "j").agg(F.sum("w"), F.sum("p2"), F.sum("p1")).collect()  # at most buckets x bins x bins rows
     settle(docs.sparkSession)
-    parts = whole.applyInArrow(_scored(n, v, learn(sorted(table), v)), PART)
+    parts = whole.applyInArrow(_scored(n, v, learn(sorted(table), v), size), PART)
     sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     return parts.groupBy("uid", "doc_id", "held_out").agg(*sums).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
