@@ -46,7 +46,9 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def settle(spark: SparkSession) -> None:
-    """Let the session clean up after jobs that have ended: their shuffle files go once the driver's references are collected."""
+    """Let the session clean up after jobs that have ended: their shuffle files go once the driver's references are
+    collected. It holds on to the last query until another has run, hence the small one."""
+    spark.range(1).count()
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
