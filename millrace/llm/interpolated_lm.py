@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import columns, crc_mod, cut, mix64, partitions, settle
 
-CHUNK_TOKENS, BUCKET_TOKENS, FOLDS = 700_000, 1_000_000, 10
+CHUNK_TOKENS, BUCKET_TOKENS, FOLDS = 1_000_000, 1_000_000, 10
 #: Bits of a bigram's key beyond those that number the corpus's tokens: at any size one bigram in 2^SPARE shares its key.
 SPARE = 20
 #: The maximisation ends when no weight moves by more than this, or after so many rounds.
