@@ -40,9 +40,13 @@ def importable(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (local runs, tests) a temporary one of our own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset in local mode (tests) a temporary one of our own."""
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(d)
     return d
