@@ -7,13 +7,14 @@ The likeness of two fingerprints is the share of equal bins among those filled i
 Jaccard similarity of the phrase sets, hence of how well one text's dictionary compresses the other.
 
 Cases: a null text is the empty text, whose fingerprint has all bins empty; two empty fingerprints have
-likeness 1. Rows are ordered by doc_id, nulls first, ties by text (null as empty); a single row is its own
-next row. Repeated rows stay. An empty table gives an empty result. Extra columns are not read.
+likeness 1. Rows are ordered by doc_id, nulls first, ties by text (null as empty; by a hash of the text first where
+one id, or none, fills several parts); a single row is its own next row. Repeated rows stay. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,23 +142,48 @@ def with_edited(text: str, following: str, hasher: Hasher) -> tuple[np.ndarray,
     return signature(hasher.phrases(text, own_starts, own_ends)), signature(hasher.phrases(edited, starts, ends)), edited
 
 
-def _deal(bounds: list, before: dict):
-    """Give each row its part; rows that carry a part's first id also go, marked, to the part before."""
-    cuts = np.array(bounds, np.int64)
+#: Where rows without an id stand in the order of ids.
+_NO_ID = int(np.iinfo(np.int64).min)
+_SALT_BITS = 53
+_DEALT = "part int, ghost byte, doc_id long, salt long, text string"
+
+
+def _bounds(quantiles: list[int], null_parts: int) -> list[tuple[int, int]]:
+    """First (id, salt) of each part but the first. An id that fills several quantiles, or the missing one, is
+    divided evenly by its salt, a hash of the text."""
+    out = [(_NO_ID, (j << _SALT_BITS) // null_parts) for j in range(1, null_parts)]
+    for c, m in sorted(Counter(quantiles).items()):
+        out += [(c, (j << _SALT_BITS) // m) for j in range(m)]
+    return sorted(set(out))
+
+
+def _deal(bounds: list[tuple[int, int]], before: dict):
+    """Give rows of (doc_id, salt, text) their part; a part's first row also goes, marked, to the part before."""
+    ids, salts = (np.array(x, np.int64) for x in (zip(*bounds, strict=True) if bounds else ((), ())))
+    divided = [v for v, m in Counter(ids.tolist()).items() if m > 1 or v == _NO_ID]
+    names = [f.split()[0] for f in _DEALT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            values = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(cuts, values, side="right").astype(np.int32)
+            value = b.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            salt = b.column(1).to_numpy(zero_copy_only=False)
+            part = np.searchsorted(ids, value, side="right")
+            for v in divided:
+                mine = value == v
+                part[mine] = np.searchsorted(ids, v) + np.searchsorted(salts[ids == v], salt[mine], side="right")
             for lo in range(0, max(1, b.num_rows), 512):
-                own, some = part[lo : lo + 512], b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int8)), *some.columns], ["part", "ghost", "doc_id", "text"])
-                firsts = [j for j, (p, v) in enumerate(zip(own.tolist(), values[lo : lo + 512].tolist(), strict=True)) if p in before and before[p][0] == v]
+                own, some = part[lo : lo + 512].astype(np.int32), b.slice(lo, 512)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int8)), *some.columns], names)
+                firsts: dict[int, tuple] = {}
+                for j, key in enumerate(zip(own.tolist(), value[lo : lo + 512].tolist(), salt[lo : lo + 512].tolist(), strict=True)):
+                    if key[0] in before and before[key[0]][0] == key[1:]:
+                        text = some.column(2)[j].as_py()
+                        row = (value[lo + j] != _NO_ID or some.column(0)[j].is_valid, text is not None, text or "", j)
+                        firsts[key[0]] = min(firsts.get(key[0], row), row)
                 if firsts:
-                    some = some.take(pa.array(firsts))
-                    to = np.array([before[int(own[j])][1] for j in firsts], np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(to), np.int8)), *some.columns], ["part", "ghost", "doc_id", "text"])
+                    some = some.take(pa.array([row[-1] for row in firsts.values()]))
+                    to = np.array([before[p][1] for p in firsts], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(to), np.int8)), *some.columns], names)
 
     return run
 
@@ -206,18 +232,22 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """SCHEMA of each row of (doc_id, text).
 
     One shuffle of the texts: rows are dealt by ranges of doc_id whose bounds come from a quantile sketch of
-    the ids (bounded by the number of parts), and the first rows of a part are also sent to the part before.
+    the ids (bounded by the number of parts), and a part's first row is also sent to the part before. An id that
+    many rows share, or lack, is dealt over as many parts as it fills, by a hash of the text; only rows equal in
+    id and text stay together.
     """
     docs = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = partitions(docs.sparkSession)
     parts = parts or 8 * n
-    cuts = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    lows = docs.select(F.coalesce(part, F.lit(0)).alias("part"), F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min))).alias("doc_id")) if len(cuts) < 500 else None
-    if lows is None:
-        lows = docs.select("doc_id", F.lit(None).cast("string").alias("text")).mapInArrow(_deal(cuts, {}), "part int, ghost byte, doc_id long, text string").select("part", F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min))).alias("doc_id"))
-    firsts = sorted((r[0], r[1]) for r in lows.where("part >= 0").groupBy("part").agg(F.min("doc_id")).collect())
+    quantiles = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    rows, named = docs.agg(F.count("*"), F.count("doc_id")).first()
+    bounds = _bounds([int(c) for c in quantiles], -(-(rows - named) * parts // max(1, rows)))
+    divided = [v for v, m in Counter(v for v, _ in bounds).items() if m > 1 or v == _NO_ID]
+    place = F.coalesce("doc_id", F.lit(_NO_ID))
+    salt = F.when(place.isin(divided), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << _SALT_BITS) - 1)).otherwise(F.lit(0)) if divided else F.lit(0)
+    salted = docs.select("doc_id", salt.cast("long").alias("salt"), "text")
+    lows = salted.select("doc_id", "salt", F.lit(None).cast("string").alias("text")).mapInArrow(_deal(bounds, {}), _DEALT)
+    firsts = sorted((r[0], tuple(r[1])) for r in lows.groupBy("part").agg(F.min(F.struct(place.alias("id"), "salt"))).collect())
     before = {p: (low, firsts[i - 1][0]) for i, (p, low) in enumerate(firsts)}
-    dealt = docs.mapInArrow(_deal(cuts, before), "part int, ghost byte, doc_id long, text string")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "doc_id", "text").mapInArrow(_walk, SCHEMA)
+    dealt = salted.mapInArrow(_deal(bounds, before), _DEALT).repartitionById(n, F.pmod("part", F.lit(n)))
+    return dealt.sortWithinPartitions("part", "ghost", "doc_id", "salt", "text").select("part", "ghost", "doc_id", "text").mapInArrow(_walk, SCHEMA)
