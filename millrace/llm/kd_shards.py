@@ -2,7 +2,8 @@
 
 Law ``bytes``: shards hold near-equal bytes. The tree's points are units with a weight in bytes: all copies of
 one text are one unit (so they stay in one shard), unless together they exceed ``ATOM`` of a shard, when each
-row is its own unit and the copies spread. Dimensions are log size, language, source and first doc_id. A node
+row is its own unit and the copies spread. Dimensions are log size, language, source (labels by a hash of the
+whole value, so equal ones stay together and different ones part) and first doc_id. A node
 that must become k shards is split along its widest dimension, relative to the table's own width, at the
 weighted quantile floor(k/2)/k, until every leaf is one shard, which is when it reaches the target bytes.
 
@@ -43,9 +44,8 @@ class Node:
 
 
 def _number(text: Column) -> Column:
-    """The first six bytes of a string as a number, in byte order."""
-    digits = F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(digits, 16, 10).cast("double")
+    """A string's place on its axis: a hash of the whole value, so that different values differ; null comes first."""
+    return F.when(text.isNull(), F.lit(0.0)).otherwise((F.xxhash64(text).bitwiseAND((1 << 52) - 1) + 1).cast("double"))
 
 
 def _place(node: Node) -> Column:
