@@ -3,15 +3,15 @@
 Longest pieces first, each into the open bin with the least room that still takes it; when none does, a bin is
 opened at the capacity of least cost per unit it can hope to fill, and at the end each bin is downsized to the
 smallest permitted capacity that holds its contents. The permitted lengths are optimised jointly: the plan is
-made once for each non-empty upper set of them and the cheapest finished plan wins (a bin costs its capacity
-plus ``OVERHEAD``).
+made once for each set of them that keeps the largest and the cheapest finished plan wins (a bin costs its
+capacity plus ``OVERHEAD``).
 
 The plan needs only how many pieces there are of each length, so it is made exactly, for all rows, on the
 driver from a histogram of at most ``max(capacities)`` counts: bins that look alike move together as ranges of
 bin numbers. Pieces are then ranked within their length (salted by a hash bucket, so a common length is spread
 over tasks) and look up their range; texts are never shuffled.
 
-A document's length is its code points plus one end mark; one longer than the largest capacity is cut into
+A document's length is its code points (not tokens) plus one end mark; one longer than the largest capacity is cut into
 pieces of that capacity and a rest, whole text included.
 
 Cases: null or empty text has length 1; repeated rows are packed each; null doc_id is kept; ties are ordered
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -95,10 +96,10 @@ class Plan:
 
 
 def plan(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIES) -> Plan:
-    """The cheapest plan over the upper sets of the permitted lengths (each keeps the largest, so all pieces fit)."""
-    tries = [Plan(counts, capacities, capacities[i:]) for i in range(len(capacities))]
-    tries += [Plan(counts, capacities, (*capacities[:i], capacities[-1])) for i in range(1, len(capacities) - 1)]
-    return min(tries, key=lambda p: p.cost)
+    """The cheapest plan over all sets of permitted lengths that keep the largest, so that all pieces fit."""
+    *smaller, largest = capacities
+    sets = [(*some, largest) for k in range(len(smaller), -1, -1) for some in combinations(smaller, k)]
+    return min((Plan(counts, capacities, s) for s in sets), key=lambda p: p.cost)
 
 
 def pieces(docs: DataFrame, largest: int) -> DataFrame:
