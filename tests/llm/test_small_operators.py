@@ -83,6 +83,29 @@ def test_fingerprint_table_against_brute_force(spark):
             assert got[i].near_edited == lz_fingerprint.likeness(f(x), f(e))
 
 
+def test_rows_that_share_or_lack_an_id_are_dealt_over_parts(spark):
+    t = texts(240, seed=4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, x) for i, x in enumerate(t)] + [(7, t[1])] * 20 + [(None, None)] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for parts in (1, 30):
+        got = lz_fingerprint.fingerprints(d, parts).collect()
+        assert sorted((r.doc_id or -1, r.fingerprint) for r in got) == sorted((i or -1, lz_fingerprint.as_text(lz_fingerprint.fingerprint(x))) for i, x in rows)
+        if parts > 1:
+            order = d.select("doc_id", "text", lz_fingerprint.F.xxhash64(lz_fingerprint.F.coalesce("text", lz_fingerprint.F.lit(""))).bitwiseAND((1 << 53) - 1).alias("h")).collect()
+            order = sorted(order, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h if r.doc_id in (None, 7) else 0, r.text is not None, r.text or ""))
+        else:
+            order = sorted(d.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, 0, r.text is not None, r.text or ""))
+        want = []
+        for k, r in enumerate(order):
+            x, n = r.text or "", order[(k + 1) % len(order)].text or ""
+            h = len(x) // 2
+            want.append((r.doc_id or -1, hashlib.sha256((x[: len(x) - h] + n[:h]).encode()).hexdigest()))
+        assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted(want)
+    # no part holds more than a few of the distinct rows of one id
+    bounds = lz_fingerprint._bounds([7] * 10 + [50, 90], 9)
+    assert bounds == sorted(set(bounds)) and len(bounds) == 8 + 10 + 2
+
+
 def test_fingerprint_edges(spark):
     got = lz_fingerprint.fingerprints(edge(spark)).collect()
     assert len(got) == 8 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -111,6 +134,40 @@ def test_shards_keep_law_slots_and_copies(spark):
     assert (pairs == 1).all()
 
 
+def plain_tree(units, first, shards):
+    """Bytes of each shard: units (w, keys) split at the weighted quantile of the widest dimension."""
+    if shards == 1 or not units:
+        return {first: sum(w for w, _ in units)} if units else {}
+    dim = max(range(4), key=lambda i: (max(k[i] for _, k in units) - min(k[i] for _, k in units), -i))
+    weight = {}
+    for w, k in units:
+        weight[k[dim]] = weight.get(k[dim], 0) + w
+    want, before = sum(weight.values()) * (shards // 2) / shards, 0
+    for key in sorted(weight):
+        if before + weight[key] >= want:
+            break
+        before += weight[key]
+    split = key + (before + weight[key] - want < want - before)
+    half = shards // 2
+    return plain_tree([u for u in units if u[1][dim] < split], first, half) | plain_tree([u for u in units if u[1][dim] >= split], first + half, shards - half)
+
+
+def test_shards_equal_a_plain_kd_tree(spark, monkeypatch):
+    r, grow, seen = random.Random(8), kd_shards._grow, []
+    monkeypatch.setattr(kd_shards, "TOLERANCE", 0)
+
+    def spy(units, shards, total):
+        seen[:] = [(u.w, (u.k0, u.k1, u.k2, u.k3)) for u in units.collect()]
+        return grow(units, shards, total)
+
+    monkeypatch.setattr(kd_shards, "_grow", spy)
+    rows = [(r.randint(-50, 5000), "x" * r.randint(0, 400) + str(i % 700), r.choice(["en", "de", None]), f"one long prefix {r.randint(1, 9)}") for i in range(900)]
+    for shards in (2, 5, 8):
+        got = kd_shards.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards).toPandas()
+        assert got.groupby("shard")["size"].sum().to_dict() == plain_tree(seen, 0, shards)
+        assert len({k[1] for _, k in seen}) > 2 and len({k[2] >> 40 for _, k in seen}) == 9
+
+
 def test_shards_edges(spark):
     got = kd_shards.shard(edge(spark), 3).collect()
     assert len(got) == 8 and {r.law for r in got} == {"bytes"} and all(0 <= r.shard < 3 for r in got)
@@ -258,8 +315,10 @@ def test_plan_equals_packing_one_by_one():
     r, caps = random.Random(3), (8, 16, 32, 64)
     for _ in range(60):
         counts = {r.randint(1, 64): r.randint(1, 60) for _ in range(r.randint(1, 25))}
-        for i in range(4):
-            assert best_fit.Plan(counts, caps, caps[i:]).cost == one_by_one(counts, caps, caps[i:])
+        sets = [tuple(c for j, c in enumerate(caps) if j == 3 or i >> j & 1) for i in range(8)]
+        costs = [one_by_one(counts, caps, s) for s in sets]
+        assert [best_fit.Plan(counts, caps, s).cost for s in sets] == costs
+        assert best_fit.plan(counts, caps).cost == min(costs)
 
 
 def test_pack_table_is_whole_and_fits(spark):
