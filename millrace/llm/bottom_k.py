@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import columns, cut, mix64
+from millrace.llm.common import columns, cut, give_back, mix64
 
 WORDS, SIMILARITY, K, STARS = 5, 75, 64, 2
 #: Values of a sketch in the last round, cut from the full sets.
@@ -88,6 +88,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
         flat = np.concatenate([*parts, np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["uid", "doc_id", "th", "n", "h1", "h2", "sketch"])
+    give_back()
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +99,7 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*keys, strict=True)), values], ["n", "h1", "h2", "values"])
+    give_back()
 
 
 def required(n: F.Column) -> F.Column:

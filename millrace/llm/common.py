@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,13 @@ def sweep() -> None:
 atexit.register(sweep)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it idles on while later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Rows of an Arrow batch: texts may be long, and a batch is held whole by both sides.
 BATCH_ROWS = 1000
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import columns, crc_mod
+from millrace.llm.common import columns, crc_mod, give_back
 
 DOCS_PER_LANGUAGE, MAX_DOCS = 400, 20_000
 WINDOW, HIDDEN, BATCH, RATE = 32, 16, 256, 0.01
@@ -260,6 +260,7 @@ def predict(docs: DataFrame, model: BiGRU | None, folds: int = 5) -> DataFrame:
                 scores += some[1]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
         reader.rest()
+        give_back()
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -283,6 +284,7 @@ def keep_identified(docs: DataFrame, model: BiGRU | None, min_score: float = MIN
                 some = some.set_column(at[1], "lang", pa.array(labels, pa.string()))
                 yield some.filter(pa.array([k != "und" and s >= min_score for k, s in zip(labels, scores, strict=True)], pa.bool_()))
         reader.rest()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
