@@ -6,6 +6,7 @@ Unicode normal forms and case folding have no built-in: they are Arrow UDFs that
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -36,6 +37,14 @@ SCRIPTS = {
 }
 #: Words that an acronym skips.
 STOP_WORDS = ("a", "an", "and", "for", "of", "the", "to")
+#: Approved abstentions, and the marks that may follow a sentence.
+ABSTENTIONS = (
+    "I cannot verify this from the available evidence.",
+    "I can’t verify this from the available evidence.",
+    "இந்தக் கூற்றை கிடைக்கும் ஆதாரங்களிலிருந்து சரிபார்க்க முடியவில்லை.",
+    "उपलब्ध साक्ष्यों से इस दावे की पुष्टि नहीं कर सकता।",
+)
+END_MARKS = " .!?！？。॥"
 
 
 @F.pandas_udf(T.StringType())
@@ -189,6 +198,14 @@ def citations(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"\[(E[1-9][0-9]*)\]"), F.lit(1))
 
 
+def safe_abstention(x: Column) -> Column:
+    """Whether a text is an approved abstention, whatever its blanks and end marks, and cites nothing (TX28); null does not."""
+    tail = f"[{END_MARKS}]+$"
+    approved = [re.sub(tail, "", " ".join(unicodedata.normalize("NFKC", a).split())) for a in ABSTENTIONS]
+    plain = F.regexp_replace(collapse(optional_text(x)), tail, "")
+    return F.coalesce(plain.isin(approved) & (F.size(citations(x)) == 0), F.lit(False))
+
+
 def sigmoid(x: Column) -> Column:
     """The logistic function without overflow (TX29)."""
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))

@@ -183,6 +183,14 @@ def json_fields(t):
     return t.events.select("event_id", p["k"].alias("k"), F.concat_ws(":", "event_type", p["k"].cast("string")).alias("label"))
 
 
+@query("SELECT conv_id, turn, (conv_id + turn) % 4 < 2 AS abstains FROM conversations")
+def safe_abstentions(t):
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    cited = F.concat(F.lit(text.ABSTENTIONS[0]), F.lit(" [E"), F.col("turn") + 1, F.lit("]"))
+    said = F.when(k == 0, F.lit("  I cannot verify  this from the available evidence!! ")).when(k == 1, F.lit(text.ABSTENTIONS[2])).when(k == 2, cited).otherwise(F.col("role"))
+    return t.conversations.select("conv_id", "turn", text.safe_abstention(said).alias("abstains"))
+
+
 @query("SELECT event_id, round(1 / (1 + exp(-(value - 10))), 9) AS p FROM events")
 def sigmoid_scores(t):
     return t.events.select("event_id", F.round(text.sigmoid(F.col("value") - 10), 9).alias("p"))

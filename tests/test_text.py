@@ -119,3 +119,10 @@ def test_acronym_initials_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words)), (2, "World of Health")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = dict(tuple(r) for r in catalog.queries()["acronym_initials"](spark, str(tmp_path)).collect())
     assert got == {1: "".join(w[0] for w in words), 2: "wh"}
+
+
+def test_safe_abstentions(spark):
+    yes = [*text.ABSTENTIONS, "I cannot verify\tthis from\n the available evidence ！", "Ｉ cannot verify this from the available evidence"]
+    no = [None, "", "I cannot verify this.", text.ABSTENTIONS[0] + " [E1]", "[E2] " + text.ABSTENTIONS[0], "so " + text.ABSTENTIONS[0]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(yes + no)], "i int, x string")
+    assert [r[0] for r in df.orderBy("i").select(text.safe_abstention(F.col("x"))).collect()] == [True] * len(yes) + [False] * len(no)
