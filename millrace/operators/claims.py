@@ -217,6 +217,46 @@ def ids_in_catalog(signatures: DataFrame, catalog: DataFrame) -> DataFrame:
     return e.groupBy("query_id").agg(*[F.count_if(kind == k).alias(k) for k in ("linked", "target_only", "invalid")])
 
 
+# The linkage gate's least counts and rates.
+LINKAGE = {"linked_claims": 1, "graph_linked_claim_rate": 0.02, "linked_queries": 1, "linked_query_rate": 0.02}
+
+
+def linkage_gate(claims: DataFrame, catalog: DataFrame, signatures: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
+    """One row: accepted_claims, linked_claims, graph_linked_claim_rate, total_queries, linked_queries,
+    linked_query_rate, target_anchor_only, passed (AG20).
+
+    ``claims`` (review_status, subject_entity_id, object_entity_id), ``catalog`` (one row per entity_id with namespace,
+    factual_identity_allowed, retrieval_allowed, link_status), ``signatures`` (query_id, entity_ids). A claim is linked
+    if either end may be used as a corpus fact. A signature with a null or repeated id links nothing.
+    """
+    limits = LINKAGE | (limits or {})
+
+    def yes(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(False))
+
+    usable = yes("retrieval_allowed") & F.coalesce(F.col("link_status") == "linked", F.lit(False))
+    named = catalog.select("entity_id", usable.alias("usable"), F.col("namespace").eqNullSafe(F.lit("target")).alias("target"), yes("factual_identity_allowed").alias("factual"), F.col("namespace").eqNullSafe(F.lit("corpus")).alias("corpus"))
+    facts = named.where("usable AND factual AND corpus").select("entity_id").distinct()
+    c = claims.where(F.col("review_status") == "accepted").select("subject_entity_id", "object_entity_id")
+    for end in ("subject", "object"):
+        c = c.join(facts.select(F.col("entity_id").alias(f"{end}_entity_id"), F.lit(True).alias(end)), f"{end}_entity_id", "left")
+    graph = c.agg(F.count("*").alias("accepted_claims"), F.count_if(yes("subject") | yes("object")).alias("linked_claims"))
+
+    sound = F.col("entity_ids").isNotNull() & ~F.exists("entity_ids", F.isnull) & (F.size("entity_ids") == F.size(F.array_distinct("entity_ids")))
+    s = signatures.select("query_id", F.explode_outer(F.when(sound, F.col("entity_ids"))).alias("entity_id"))
+    s = s.join(named, "entity_id", "left")
+    kind = F.when(F.col("entity_id").isNull(), None).when(~yes("usable"), "invalid").when(F.col("target") | ~F.col("factual"), "target").otherwise("linked")
+    q = s.groupBy("query_id").agg(*[F.count_if(kind == k).alias(k) for k in ("linked", "target", "invalid")])
+    asked = q.agg(F.count("*").alias("total_queries"), F.count_if(F.col("linked") > 0).alias("linked_queries"), F.count_if((F.col("linked") == 0) & (F.col("target") > 0) & (F.col("invalid") == 0)).alias("target_anchor_only"))
+    one = graph.crossJoin(asked)  # one row each
+    one = one.withColumn("graph_linked_claim_rate", F.col("linked_claims") / F.greatest("accepted_claims", F.lit(1)))
+    one = one.withColumn("linked_query_rate", F.col("linked_queries") / F.greatest("total_queries", F.lit(1)))
+    passed = F.lit(True)
+    for name, least in limits.items():
+        passed = passed & (F.col(name) >= least)
+    return one.withColumn("passed", passed)
+
+
 def ranked_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row per key in order (WN4)."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")

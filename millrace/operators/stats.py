@@ -195,6 +195,88 @@ def ordinal_alpha(ratings: DataFrame, unit: str, rater: str, score: str) -> Data
     return totals.select("n_units", F.when(chance == 0, 1.0).otherwise(1 - F.col("seen") * (F.col("n") - 1) / chance).alias("alpha"))
 
 
+def metric_family(long: DataFrame, key: str, variant: str, metrics: list[str], comparisons: list[tuple[str, str]], lower: list[str] | None = None, permutations: int = 10_000, seed: int = 42) -> DataFrame:
+    """comparison, metric, direction, n, mean_difference, win_rate, tie_rate, loss_rate, status, p_value, q_value (MT6).
+
+    One row a declared comparison and metric, tested or not: ``long`` has a row per (key, variant) with a column per
+    metric. A ``<metric>_status`` column, if there, decides: only ``scored`` counts. Where a lower value is better the
+    sides are swapped. Every p-value takes part in one family of corrections; no pairs make it null. Only the grid of
+    tests, never the rows, is in one task.
+    """
+    lower = lower or []
+
+    def cell(m: str) -> Column:
+        value = F.col(m).cast("double")
+        has_status = f"{m}_status" in long.columns
+        scored = F.when(F.col(f"{m}_status").isNull() | (F.col(f"{m}_status") == "scored"), value) if has_status else value
+        return F.struct(F.lit(m).alias("metric"), F.lit(-1.0 if m in lower else 1.0).alias("sign"), scored.alias("v"))
+
+    each = long.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(variant).alias("__variant"), F.explode(F.array(*map(cell, metrics))).alias("x"))
+    each = each.select("id", "__variant", "x.*")
+    sides = F.explode(F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("comparison"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in comparisons]))
+    each = each.withColumn("c", sides).where(F.col("__variant").isin(F.col("c.a"), F.col("c.b")))
+    pair = each.groupBy("c.comparison", "metric", "id").agg(
+        F.max("sign").alias("sign"),
+        F.max(F.when(F.col("__variant") == F.col("c.a"), F.col("v"))).alias("a"),
+        F.max(F.when(F.col("__variant") == F.col("c.b"), F.col("v"))).alias("b"),
+    )
+    pair = pair.where(finite(F.col("a")) & finite(F.col("b"))).withColumn("d", (F.col("a") - F.col("b")) * F.col("sign"))
+    pair = pair.select(F.concat_ws("\x1f", "comparison", "metric").alias("test"), "d")
+    d = F.col("d")
+    summary = pair.groupBy("test").agg(
+        F.avg(d).alias("mean_difference"),
+        F.avg((d > TOLERANCE).cast("double")).alias("win_rate"),
+        F.avg((F.abs(d) <= TOLERANCE).cast("double")).alias("tie_rate"),
+        F.avg((d < -TOLERANCE).cast("double")).alias("loss_rate"),
+    )
+    tests = summary.join(sign_permutation(pair, "test", "d", TOLERANCE, permutations, seed), "test")
+    grid = [(f"{a}_vs_{b}", m, "lower" if m in lower else "higher") for a, b in comparisons for m in metrics]
+    grid = long.sparkSession.createDataFrame(grid, "comparison string, metric string, direction string")
+    out = grid.join(tests, F.concat_ws("\x1f", "comparison", "metric") == F.col("test"), "left").drop("test")
+    out = out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("status", F.when(F.col("n") == 0, "insufficient_pairs").otherwise("scored"))
+    return benjamini_hochberg(out, "p_value", "comparison", "metric")
+
+
+def agreement_report(ratings: DataFrame, unit: str, rater: str, score: str) -> DataFrame:
+    """One row: distinct_raters, unit_count, overlap_count, observed_cells, expected_cells, missingness_count, alpha,
+    status and kappa, a map from ``a_vs_b`` to quadratically weighted kappa (null without common units) (MT10).
+
+    A null score is a missing cell. The same rater twice in one unit, a null rater, or fewer than two raters is an
+    error, raised when the rows are computed. Units with the same scores by the same raters are counted as one pattern
+    before pairs of raters are made, so their number does not grow with the units.
+    """
+    r = ratings.select(F.col(unit).alias("u"), F.when(F.col(rater).isNull(), F.raise_error(F.lit("annotation row must contain rater"))).otherwise(F.col(rater).cast("string")).alias("r"), F.col(score).alias("s"))
+    cells = r.groupBy("u", "r").agg(F.max("s").alias("s"), F.count("*").alias("k"))
+    cells = cells.select("u", "r", F.when(F.col("k") > 1, F.raise_error(F.lit("duplicate annotation"))).otherwise(F.col("s")).alias("s"))
+    units = cells.groupBy("u").agg(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("r", "s")))).alias("row"))
+    patterns = units.groupBy("row").agg(F.count("*").alias("k"))
+    counts = patterns.agg(F.sum("k").alias("unit_count"), F.sum(F.when(F.size("row") > 1, F.col("k")).otherwise(0)).alias("overlap_count"), F.sum(F.size("row") * F.col("k")).alias("observed_cells"))
+    names = r.agg(F.array_sort(F.collect_set("r")).alias("names"))
+
+    met = F.flatten(F.transform("row", lambda x, i: F.transform(F.slice("row", i + 2, F.size("row")), lambda y: F.struct(x["r"].alias("ra"), y["r"].alias("rb"), x["s"].alias("a"), y["s"].alias("b")))))
+    cross = patterns.where(F.size("row") > 1).select("k", F.explode(met).alias("m")).groupBy("m.ra", "m.rb", "m.a", "m.b").agg(F.sum("k").cast("double").alias("n"))
+    pair = ["ra", "rb"]
+    ranks = cross.select(*pair, F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("i", F.dense_rank().over(Window.partitionBy(*pair).orderBy("v")))
+    cross = cross.join(ranks.withColumnsRenamed({"v": "a"}), [*pair, "a"]).join(ranks.withColumnsRenamed({"v": "b", "i": "j"}), [*pair, "b"])
+    apart = F.pow((F.col("i") - F.col("j")).cast("double"), F.lit(2.0))
+    seen = cross.groupBy(*pair).agg(F.sum("n").alias("n"), F.sum(apart * F.col("n")).alias("seen"))
+    x, y = cross.groupBy(*pair, "i").agg(F.sum("n").alias("x")), cross.groupBy(*pair, "j").agg(F.sum("n").alias("y"))
+    chance = x.join(y, pair).groupBy(*pair).agg(F.sum(apart * F.col("x") * F.col("y")).alias("chance"))  # categories squared
+    kappa = F.when(F.col("chance") == 0, 1.0).otherwise(1 - F.col("seen") * F.col("n") / F.col("chance"))
+    kappas = seen.join(chance, pair).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("ra", F.lit("_vs_"), "rb"), kappa))).alias("known"))
+
+    pairs = F.flatten(F.transform("names", lambda p, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda q: F.concat(p, F.lit("_vs_"), q))))
+    one = counts.crossJoin(names).crossJoin(kappas).crossJoin(ordinal_alpha(cells, "u", "r", "s").select("alpha"))  # one row each
+    few = F.when(F.size("names") < 2, F.raise_error(F.lit("at least two distinct raters are required"))).otherwise(F.size("names"))
+    one = one.withColumn("distinct_raters", few).withColumn("expected_cells", F.col("unit_count") * F.col("distinct_raters"))
+    return one.select(
+        "distinct_raters", "unit_count", "overlap_count", "observed_cells", "expected_cells",
+        (F.col("expected_cells") - F.col("observed_cells")).alias("missingness_count"), "alpha",
+        F.when(F.col("overlap_count") > 0, "scored").otherwise("insufficient_overlap").alias("status"),
+        F.map_from_entries(F.transform(pairs, lambda p: F.struct(p, F.try_element_at("known", p)))).alias("kappa"),
+    )
+
+
 def binary_metrics(df: DataFrame, gold: Column, predicted: Column, *group: str) -> DataFrame:
     """support, precision, recall, f1; 0 where undefined (AG30)."""
     t = df.groupBy(*group).agg(F.count_if(gold & predicted).alias("tp"), F.count_if(~gold & predicted).alias("fp"), F.count_if(gold & ~predicted).alias("fn"))

@@ -543,6 +543,64 @@ def ordinal_alpha(t):
     return stats.ordinal_alpha(r, "doc_id", "rater", "score").withColumn("alpha", F.round("alpha", 6))
 
 
+@query("""WITH v AS (SELECT l_linenumber AS id, l_returnflag AS variant, round(avg(l_quantity), 6) AS quantity, round(avg(l_discount), 6) AS discount, round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY 1, 2),
+l AS (UNPIVOT v ON quantity, discount, tax INTO NAME metric VALUE x), c(a, b) AS (VALUES ('R', 'A'), ('R', 'N'), ('A', 'N')),
+p AS (SELECT c.a || '_vs_' || c.b AS comparison, l.metric, CASE WHEN l.metric = 'tax' THEN r.x - l.x ELSE l.x - r.x END AS d, row_number() OVER (PARTITION BY c.a, c.b, l.metric ORDER BY l.id) - 1 AS i
+FROM c JOIN l ON l.variant = c.a JOIN l r ON r.variant = c.b AND r.metric = l.metric AND r.id = l.id),
+g AS (SELECT comparison, metric, count(*) AS n, avg(d) AS mean_difference, avg((d > 1e-12)::INT) AS win_rate, abs(sum(d)) AS seen FROM p GROUP BY 1, 2),
+m AS (SELECT comparison, metric, mask, abs(sum(CASE WHEN (mask >> i) & 1 = 1 THEN -d ELSE d END)) AS s FROM p, (SELECT unnest(range(0, 128)) AS mask) GROUP BY 1, 2, 3),
+t AS (SELECT g.comparison, g.metric, n, mean_difference, win_rate, avg((s >= seen - 1e-12)::INT) AS p FROM g JOIN m USING (comparison, metric) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY p, comparison, metric) AS r, count(*) OVER () AS k FROM t)
+SELECT comparison, metric, CASE WHEN metric = 'tax' THEN 'lower' ELSE 'higher' END AS direction, n::INTEGER AS n, round(mean_difference, 6) AS mean_difference, round(win_rate, 6) AS win_rate, round(p, 6) AS p_value,
+round(least(1.0, min(p * k / r) OVER (ORDER BY p, comparison, metric ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM r""")
+def metric_family(t):
+    mean = {n: F.round(F.avg(f"l_{n}"), 6).alias(n) for n in ("quantity", "discount", "tax")}
+    v = t.lineitem.groupBy(F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("variant")).agg(*mean.values())
+    f = stats.metric_family(v, "id", "variant", list(mean), [("R", "A"), ("R", "N"), ("A", "N")], ["tax"])
+    return f.select("comparison", "metric", "direction", "n", *[F.round(c, 6).alias(c) for c in ("mean_difference", "win_rate", "p_value", "q_value")])
+
+
+_RATINGS = "r AS (SELECT doc_id AS u, 'quality' AS r, quality AS s FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels UNION ALL SELECT doc_id, 'third', CASE WHEN doc_id % 5 > 0 THEN quality * (doc_id % 3) END FROM labels)"
+
+
+@query(f"""WITH {_RATINGS}, o AS (SELECT u, r, s::DOUBLE AS s FROM r WHERE s IS NOT NULL),
+g AS (SELECT u, count(*)::DOUBLE AS m, sum(s) AS s, sum(s * s) AS q FROM o GROUP BY u HAVING count(*) > 1),
+alpha AS (SELECT count(*) AS overlap, 1 - sum(2 * (m * q - s * s) / (m - 1)) * (sum(m) - 1) / (2 * (sum(m) * sum(q) - sum(s) * sum(s))) AS alpha FROM g),
+p AS (SELECT x.r || '_vs_' || y.r AS pair, x.s AS a, y.s AS b FROM o x JOIN o y ON x.u = y.u AND x.r < y.r),
+e AS (SELECT pair, sum((a - b) * (a - b)) AS seen, count(*) AS n, count(*) * (sum(a * a) + sum(b * b)) - 2 * sum(a) * sum(b) AS chance FROM p GROUP BY pair)
+SELECT pair, round(1 - seen * n / chance, 6) AS kappa, 3 AS distinct_raters, (SELECT count(DISTINCT u) FROM r) AS unit_count, overlap AS overlap_count, (SELECT count(*) FROM o) AS observed_cells,
+(SELECT count(*) FROM r) AS expected_cells, (SELECT count(*) FROM r WHERE s IS NULL) AS missingness_count, round(alpha, 6) AS alpha, 'scored' AS status FROM e, alpha""")
+def agreement_report(t):
+    third = F.when(F.col("doc_id") % 5 > 0, F.col("quality") * (F.col("doc_id") % 3))
+    scores = {"quality": F.col("quality"), "toxic": F.col("toxic"), "third": third}
+    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rater"), s.cast("long").alias("score")) for r, s in scores.items()]))
+    report = stats.agreement_report(t.labels.select("doc_id", cells.alias("x")).select("doc_id", "x.*"), "doc_id", "rater", "score")
+    kept = [c for c in report.columns if c not in ("kappa", "alpha")]
+    return report.select(*kept, F.round("alpha", 6).alias("alpha"), F.explode("kappa").alias("pair", "k")).withColumn("kappa", F.round("k", 6)).drop("k")
+
+
+@query("""WITH c AS (SELECT 'S' || s_suppkey AS e, s_suppkey % 3 > 0 AS factual, s_suppkey % 4 > 0 AS usable FROM supplier UNION ALL SELECT 'P' || p_partkey, p_partkey % 2 = 0, true FROM part),
+f AS (SELECT e FROM c WHERE factual AND usable),
+g AS (SELECT count(*) AS n, count(*) FILTER ('S' || l_suppkey IN (SELECT e FROM f) OR 'P' || l_partkey IN (SELECT e FROM f)) AS linked FROM lineitem WHERE l_returnflag <> 'R'),
+s AS (SELECT o_orderkey AS q, 'S' || (o_custkey % 15 + 1) AS e FROM orders UNION ALL SELECT o_orderkey, 'P' || (o_orderkey % 211) FROM orders),
+k AS (SELECT q, count(*) FILTER (factual AND usable) AS linked, count(*) FILTER (NOT factual AND usable) AS target, count(*) FILTER (usable IS NOT TRUE) AS invalid FROM s LEFT JOIN c USING (e) GROUP BY q),
+a AS (SELECT count(*) AS total, count(*) FILTER (linked > 0) AS linked, count(*) FILTER (linked = 0 AND target > 0 AND invalid = 0) AS target FROM k)
+SELECT g.n AS accepted_claims, g.linked AS linked_claims, round(g.linked / g.n, 6) AS graph_linked_claim_rate, a.total AS total_queries, a.linked AS linked_queries, round(a.linked / a.total, 6) AS linked_query_rate,
+a.target AS target_anchor_only, g.linked >= 1 AND g.linked / g.n >= 0.02 AND a.linked >= 1 AND a.linked / a.total >= 0.02 AS passed FROM g, a""")
+def linkage_gate(t):
+    def entity(prefix, key, factual, usable):
+        return [F.concat(F.lit(prefix), key).alias("entity_id"), F.lit("corpus").alias("namespace"), factual.alias("factual_identity_allowed"), usable.alias("retrieval_allowed"), F.lit("linked").alias("link_status")]
+
+    s = t.supplier.select(*entity("S", "s_suppkey", F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 4 > 0))
+    p = t.part.select(*entity("P", "p_partkey", F.col("p_partkey") % 2 == 0, F.lit(True)))
+    ends = [F.concat(F.lit("S"), "l_suppkey").alias("subject_entity_id"), F.concat(F.lit("P"), "l_partkey").alias("object_entity_id")]
+    c = t.lineitem.select(F.when(F.col("l_returnflag") == "R", "rejected").otherwise("accepted").alias("review_status"), *ends)
+    ids_ = F.array(F.concat(F.lit("S"), F.col("o_custkey") % 15 + 1), F.concat(F.lit("P"), F.col("o_orderkey") % 211))
+    q = t.orders.select(F.col("o_orderkey").alias("query_id"), ids_.alias("entity_ids"))
+    g = claims.linkage_gate(c, s.unionAll(p), q)
+    return g.withColumns({x: F.round(x, 6) for x in ("graph_linked_claim_rate", "linked_query_rate")})
+
+
 _GRID = "WITH t(threshold) AS (VALUES (0.25::DOUBLE), (0.5), (0.75)), g AS (SELECT quality = 1 AS gold, (doc_id % 97) / 97.0 AS s FROM labels), c AS (SELECT threshold, count(*) FILTER (gold AND s >= threshold) AS tp, count(*) FILTER (NOT gold AND s >= threshold) AS fp, count(*) FILTER (gold AND s < threshold) AS fn FROM g, t GROUP BY threshold)"
 
 

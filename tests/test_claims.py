@@ -120,3 +120,14 @@ def test_lineage(spark):
     assert edges.count() == 5
     assert {r.id for r in lineage.neighbourhood(edges, "entity:e1", 1).collect()} == {"entity:e1", "chunk:c1", "chunk:c2"}
     assert [r.id for r in lineage.select(nodes, ["chunk"], 2, "C2").collect()] == ["chunk:c2"]
+
+
+def test_linkage_gate(spark):
+    c = spark.createDataFrame([("accepted", "E1", None), ("accepted", "X", "E1"), ("accepted", "T", "D"), ("rejected", "E1", None)], "review_status string, subject_entity_id string, object_entity_id string")
+    cat = spark.createDataFrame([("E1", "corpus", True, True, "linked"), ("T", "target", True, True, "linked"), ("D", "corpus", True, None, "linked"), ("U", "corpus", True, True, "pending")], "entity_id string, namespace string, factual_identity_allowed boolean, retrieval_allowed boolean, link_status string")
+    s = spark.createDataFrame([("a", ["E1", "T"]), ("b", ["T"]), ("c", ["T", "U"]), ("d", ["E1", "E1"]), ("e", None), ("f", [])], "query_id string, entity_ids array<string>")
+    got = claims.linkage_gate(c, cat, s).first()
+    assert (got.accepted_claims, got.linked_claims, got.total_queries, got.linked_queries, got.target_anchor_only, got.passed) == (3, 2, 6, 1, 1, True)
+    assert claims.linkage_gate(c, cat, s, {"linked_query_rate": 0.2}).first().passed is False
+    none = claims.linkage_gate(c.limit(0), cat, s.limit(0)).first()
+    assert (none.accepted_claims, none.graph_linked_claim_rate, none.linked_query_rate, none.passed) == (0, 0.0, 0.0, False)

@@ -278,3 +278,36 @@ def test_bootstrap_uses_the_reference_number_of_resamples(spark):
     r = stats.bootstrap_mean_ci(d, "v").first()
     half = 1.96 * math.sqrt(8.25 / 1000)
     assert r.mean == 4.5 and r.low == pytest.approx(4.5 - half, abs=0.02) and r.high == pytest.approx(4.5 + half, abs=0.02)
+
+
+def test_metric_family_keeps_the_whole_grid_and_one_correction(spark):
+    values = {"a": [3.0, 4.0, 5.0, 6.0], "b": [1.0, 2.0, 3.0, 4.0], "c": [None, None, None, None]}
+    long = [(str(i), v, x[i], -x[i] if x[i] is not None else None, "scored" if i else "missing") for v, x in values.items() for i in range(4)]
+    d = spark.createDataFrame(long, "id string, v string, good double, loss double, loss_status string")
+    f = {(r.comparison, r.metric): r for r in stats.metric_family(d, "id", "v", ["good", "loss"], [("a", "b"), ("a", "c")], ["loss"]).collect()}
+    assert len(f) == 4
+    good, loss = f["a_vs_b", "good"], f["a_vs_b", "loss"]
+    assert (good.n, good.mean_difference, good.win_rate, good.p_value, good.direction) == (4, 2.0, 1.0, 2 / 16, "higher")
+    assert (loss.n, loss.mean_difference, loss.win_rate, loss.p_value, loss.direction) == (3, 2.0, 1.0, 2 / 8, "lower")
+    assert (good.q_value, loss.q_value) == (0.25, 0.25)
+    none = f["a_vs_c", "good"]
+    assert (none.n, none.status, none.p_value, none.q_value) == (0, "insufficient_pairs", None, None)
+    empty = stats.metric_family(d.limit(0), "id", "v", ["good"], [("a", "b")]).collect()
+    assert [(r.n, r.status) for r in empty] == [(0, "insufficient_pairs")]
+
+
+def test_agreement_report(spark):
+    d = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "x", 2), (2, "y", 2), (3, "x", 3), (3, "y", 3), (3, "z", None), (4, "z", 1)], "u int, r string, s int")
+    got = stats.agreement_report(d, "u", "r", "s").first()
+    assert (got.distinct_raters, got.unit_count, got.overlap_count, got.observed_cells, got.expected_cells, got.missingness_count, got.status) == (3, 4, 3, 7, 12, 5, "scored")
+    pairs, size = [(1, 2), (2, 2), (3, 3)], 2
+    agree = lambda a, b: 1 - ((a - b) / size) ** 2
+    seen = sum(agree(a, b) for a, b in pairs) / 3
+    chance = sum(agree(a, b) for a, _ in pairs for _, b in pairs) / 9
+    assert got.kappa["x_vs_y"] == pytest.approx((seen - chance) / (1 - chance))
+    assert got.kappa["x_vs_z"] is None and got.kappa["y_vs_z"] is None
+    apart = stats.agreement_report(spark.createDataFrame([(1, "x", 1), (2, "y", 2)], "u int, r string, s int"), "u", "r", "s").first()
+    assert (apart.status, apart.overlap_count, apart.alpha) == ("insufficient_overlap", 0, None)
+    for bad in ([(1, "x", 1), (1, "x", 1), (1, "y", 1)], [(1, "x", 1)], [(1, None, 1), (1, "y", 1), (2, "x", 2)]):
+        with pytest.raises(Exception, match="rater|duplicate"):
+            stats.agreement_report(spark.createDataFrame(bad, "u int, r string, s int"), "u", "r", "s").collect()
