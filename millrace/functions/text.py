@@ -16,7 +16,20 @@ from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
 #: Languages by alias.
-LANGUAGES = {"en": "english", "english": "english", "fr": "french", "french": "french", "de": "german", "german": "german", "es": "spanish", "spanish": "spanish", "ta": "tamil", "tamil": "tamil", "hi": "hindi", "hindi": "hindi"}
+LANGUAGES = {
+    "en": ("en", "eng", "english"),
+    "ta": ("ta", "tam", "tamil"),
+    "hi": ("hi", "hin", "hindi"),
+    "fr": ("fr", "fra", "fre", "french"),
+    "es": ("es", "spa", "spanish"),
+    "de": ("de", "deu", "ger", "german"),
+    "pt": ("pt", "por", "portuguese"),
+    "it": ("it", "ita", "italian"),
+    "ru": ("ru", "rus", "russian"),
+    "zh": ("zh", "zho", "chi", "chinese"),
+    "ja": ("ja", "jpn", "japanese"),
+    "ko": ("ko", "kor", "korean"),
+}
 #: Scripts by name, as classes of a regular expression.
 SCRIPTS = {
     "latin": r"[A-Za-z\x{00C0}-\x{024F}]",
@@ -153,8 +166,8 @@ def script_bucket(x: Column) -> Column:
 
 
 def language_label(x: Column) -> Column:
-    """A language's name from an alias, else null (TX19)."""
-    table = F.create_map(*[F.lit(v) for kv in LANGUAGES.items() for v in kv])
+    """A language's code from an alias, else null (TX19)."""
+    table = F.create_map(*[F.lit(v) for code, names in LANGUAGES.items() for name in names for v in (name, code)])
     return table[F.lower(F.trim(x))]
 
 
@@ -232,4 +245,4 @@ def document_title(path: Column, prefix: Column) -> Column:
 def metric_envelope(value: Column, status: Column, reason: Column) -> Column:
     """value, status, reason; a scored value that is not finite becomes ``invalid_score`` (TX34)."""
     bad = (status == "scored") & (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")))
-    return F.struct(F.when(~bad & (status == "scored"), value).alias("value"), F.when(bad, "error").otherwise(status).alias("status"), F.when(bad, "invalid_score").otherwise(reason).alias("reason"))
+    return F.struct(F.when(~bad & (status == "scored"), value).alias("value"), F.when(bad, "invalid_score").otherwise(status).alias("status"), F.when(bad, "nonfinite_metric_value").otherwise(reason).alias("reason"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ids, spans, text
-from millrace.operators import audit, citations, claims, dedup, expansion, gates, graph, lineage, registry, retrieval, sampling, stats
+from millrace.operators import audit, citations, claims, dedup, evaluation, expansion, gates, graph, lineage, registry, retrieval, sampling, stats
 from millrace.session import checkpoint_dir, importable
 from millrace.sources import html, sinks
 from millrace.streaming import ingest
@@ -155,8 +155,8 @@ def script_buckets(t):
     return t.documents.select("doc_id", text.script_bucket(F.col("text")).alias("script"))
 
 
-@query("""WITH m(a, l) AS (VALUES ('en', 'english'), ('fr', 'french'), ('de', 'german'), ('es', 'spanish'))
-SELECT doc_id, x.l AS label, x.l = 'english' AS is_english FROM documents LEFT JOIN m x ON x.a = lower(trim(lang))""")
+@query("""WITH m(a, l) AS (VALUES ('en', 'en'), ('fr', 'fr'), ('de', 'de'), ('es', 'es'), ('pt', 'pt'), ('it', 'it'), ('ru', 'ru'), ('zh', 'zh'), ('ja', 'ja'), ('ko', 'ko'), ('hi', 'hi'), ('ta', 'ta'))
+SELECT doc_id, x.l AS label, x.l = 'en' AS is_english FROM documents LEFT JOIN m x ON x.a = lower(trim(lang))""")
 def language_labels(t):
     return t.documents.select("doc_id", text.language_label(F.col("lang")).alias("label"), text.language_match(F.col("lang"), F.lit("English")).alias("is_english"))
 
@@ -601,6 +601,26 @@ def linkage_gate(t):
     return g.withColumns({x: F.round(x, 6) for x in ("graph_linked_claim_rate", "linked_query_rate")})
 
 
+@query("""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 7 > 0 THEN source END AS ref, CASE WHEN doc_id % 5 > 0 THEN text END AS hyp,
+CASE WHEN lower(trim(lang)) IN ('en', 'fr', 'de', 'es', 'pt', 'it', 'ru', 'zh', 'ja', 'ko', 'hi', 'ta') THEN lower(trim(lang)) END AS lang, contains(text, 'a') AS a FROM documents),
+s AS (SELECT *, CASE WHEN coalesce(lang, 'en') NOT IN ('en', 'hi', 'ta') THEN 'unsupported_language' WHEN text IS NULL OR trim(text) = '' THEN 'unavailable' WHEN coalesce(lang, 'en') <> 'en' THEN 'mismatch' ELSE 'scored' END AS ls,
+CASE WHEN ref IS NULL THEN 'missing_reference' WHEN hyp IS NULL THEN 'missing_hypothesis' END AS why FROM d),
+m AS (SELECT s.*, x.metric FROM s, (VALUES ('chrf'), ('bertscore'), ('rouge_l'), ('meteor'), ('detoxify')) AS x(metric)),
+j AS (SELECT *, CASE WHEN metric <> 'chrf' AND ls = 'mismatch' THEN 'language_mismatch' WHEN metric <> 'chrf' AND ls <> 'scored' THEN 'unsupported_language'
+WHEN metric <> 'detoxify' AND why IS NOT NULL THEN CASE WHEN ref IS NULL THEN 'excluded_missing_reference' ELSE why END WHEN metric IN ('bertscore', 'meteor') THEN 'unavailable'
+WHEN metric = 'detoxify' AND hyp IS NULL THEN 'invalid_score' ELSE 'scored' END AS status FROM m)
+SELECT doc_id::VARCHAR AS ID, ls AS language_status, metric, status, CASE WHEN status = 'language_mismatch' THEN 'detected_language_mismatch'
+WHEN status = 'unsupported_language' THEN CASE WHEN metric = 'bertscore' THEN 'language_not_supported' ELSE 'english_only_metric' END WHEN status = 'unavailable' THEN metric || '_scorer_unavailable'
+WHEN status = 'invalid_score' THEN 'nonfinite_metric_value' WHEN status <> 'scored' THEN why END AS reason,
+CASE WHEN status = 'scored' AND metric = 'rouge_l' THEN length(ref) / 64.0 WHEN status = 'scored' AND metric = 'detoxify' THEN CASE WHEN a THEN 0.5 ELSE 0.25 END END::DOUBLE AS value FROM j""")
+def record_evaluation(t):
+    d = t.documents.select("doc_id", "text", "lang", F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("ref"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("hyp"))
+    scorers = {"rouge_l": lambda r, h: F.length(r) / 64, "detoxify": lambda r, h: F.when(F.contains(h, F.lit("a")), 0.5).when(h.isNotNull(), 0.25)}
+    e = evaluation.evaluate_records(d, "doc_id", "text", "ref", "hyp", "lang", lambda x: F.lit("ENGLISH"), scorers)
+    m = e.select("ID", "language_status", F.explode("metrics").alias("metric", "m"))
+    return m.select("ID", "language_status", "metric", "m.status", "m.reason", F.when(F.col("metric") != "chrf", F.col("m.value")).alias("value"))
+
+
 _GRID = "WITH t(threshold) AS (VALUES (0.25::DOUBLE), (0.5), (0.75)), g AS (SELECT quality = 1 AS gold, (doc_id % 97) / 97.0 AS s FROM labels), c AS (SELECT threshold, count(*) FILTER (gold AND s >= threshold) AS tp, count(*) FILTER (NOT gold AND s >= threshold) AS fp, count(*) FILTER (gold AND s < threshold) AS fn FROM g, t GROUP BY threshold)"
 
 

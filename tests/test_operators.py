@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import audit, citations, dedup, graph, registry, retrieval, sampling, stats
+from millrace.operators import audit, citations, dedup, evaluation, graph, registry, retrieval, sampling, stats
 
 
 def rows(df, *order):
@@ -311,3 +311,28 @@ def test_agreement_report(spark):
     for bad in ([(1, "x", 1), (1, "x", 1), (1, "y", 1)], [(1, "x", 1)], [(1, None, 1), (1, "y", 1), (2, "x", 2)]):
         with pytest.raises(Exception, match="rater|duplicate"):
             stats.agreement_report(spark.createDataFrame(bad, "u int, r string, s int"), "u", "r", "s").collect()
+
+
+def test_record_evaluation_states(spark):
+    data = [
+        ("ok", "in", "ref", "hyp", "English"), ("noref", "in", None, "hyp", "en"), ("nohyp", "in", "ref", " ", "eng"), ("hindi", "hi", "hi r", "hi h", "hin"),
+        ("mismatch", "in", "ref", "hi h", "en"), ("french", "in", "ref", "hyp", "fr"), ("unknown", None, "ref", "hyp", None), ("blank", "", "ref", "hyp", "en"), (None, "in", "bad", "hyp", None),
+    ]
+    d = spark.createDataFrame(data, "i string, t string, r string, h string, l string")
+    seen = {"rouge_l": lambda r, h: F.when(r == "bad", float("nan")).when(r.isNotNull(), 0.5), "detoxify": lambda r, h: F.when(h.isNotNull(), 0.1)}
+    got = {x.ID: x for x in evaluation.evaluate_records(d, "i", "t", "r", "h", "l", lambda x: F.when(F.startswith(x, F.lit("hi")), "HINDI").otherwise("English"), seen).collect()}
+    of = lambda i, m: tuple(got[i].metrics[m])
+    assert {i: x.language_status for i, x in got.items()} == {"ok": "scored", "noref": "scored", "nohyp": "scored", "hindi": "scored", "mismatch": "mismatch", "french": "unsupported_language", "unknown": "unavailable", "blank": "unavailable", "": "scored"}
+    assert of("ok", "rouge_l") == (0.5, "scored", None) and of("ok", "detoxify") == (0.1, "scored", None)
+    assert of("ok", "meteor") == (None, "unavailable", "meteor_scorer_unavailable") and of("ok", "bertscore")[1] == "unavailable"
+    assert of("noref", "rouge_l") == (None, "excluded_missing_reference", "missing_reference") and of("noref", "detoxify") == (0.1, "scored", None)
+    assert of("noref", "chrf") == (None, "excluded_missing_reference", "missing_reference") and got["noref"].reference_available is False
+    assert of("nohyp", "rouge_l") == (None, "missing_hypothesis", "missing_hypothesis") and of("nohyp", "detoxify") == (None, "invalid_score", "nonfinite_metric_value")
+    assert of("hindi", "rouge_l") == (None, "unsupported_language", "english_only_metric") and of("hindi", "bertscore")[1] == "unavailable"
+    assert of("mismatch", "bertscore") == (None, "language_mismatch", "detected_language_mismatch") and of("mismatch", "chrf")[1] == "scored"
+    assert of("french", "bertscore") == (None, "unsupported_language", "language_not_supported")
+    assert of("", "rouge_l") == (None, "invalid_score", "nonfinite_metric_value")
+    assert (got["ok"].language_match, got["mismatch"].language_match, got["unknown"].language_match) == (True, False, None)
+    plain = {x.ID: x for x in evaluation.evaluate_records(d, "i", "t", "r", "h", "l").collect()}
+    assert plain["ok"].language_status == "unavailable" and plain["ok"].metrics["chrf"].value == pytest.approx(0.0)
+    assert evaluation.evaluate_records(d.limit(0), "i", "t", "r", "h", "l").collect() == []
