@@ -22,6 +22,11 @@ Detector = Callable[[Column], Column]
 Scorer = Callable[[Column, Column], Column]
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows; the optimiser does not move expressions across, so what many others use is generated once."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__x")).select("__x.*")
+
+
 def evaluate_records(records: DataFrame, id_: str, text: str, reference: str, response: str, language: str, detector: Detector | None = None, scorers: dict[str, Scorer] | None = None) -> DataFrame:
     """ID, languages, matches, reference_available and ``metrics``, a map of chrf, bertscore, rouge_l, meteor and
     detoxify to (value, status, reason); one row a record.
@@ -36,14 +41,14 @@ def evaluate_records(records: DataFrame, id_: str, text: str, reference: str, re
         return F.when(optional_text(x).isNotNull(), language_label(detector(x))) if detector else F.lit(None).cast("string")
 
     r = records.select(F.coalesce(F.col(id_).cast("string"), F.lit("")).alias("ID"), F.col(text).alias("__t"), optional_text(F.col(reference)).alias("__r"), optional_text(F.col(response)).alias("__h"), language_label(F.col(language)).alias("expected_language"))
-    r = r.withColumns({"input_language": detected(F.col("__t")), "reference_language": detected(F.col("__r")), "output_language": detected(F.col("__h"))})
-    r = r.withColumn("language", F.coalesce("expected_language", "input_language"))
+    r = _once(r).withColumns({"input_language": detected(F.col("__t")), "reference_language": detected(F.col("__r")), "output_language": detected(F.col("__h"))})
+    r = _once(r.withColumn("language", F.coalesce("expected_language", "input_language")))
     lang = F.col("language")
     differs = F.lit(False)
     for c in ("input_language", "reference_language", "output_language"):
         differs = differs | F.coalesce(F.col(c) != lang, F.lit(False))
     status = F.when(lang.isNull(), "unavailable").when(~lang.isin(SUPPORTED), "unsupported_language").when(F.col("input_language").isNull(), "unavailable").when(differs, "mismatch").otherwise("scored")
-    r = r.withColumn("language_status", status)
+    r = _once(r.withColumn("language_status", status))
     ref, hyp = F.col("__r"), F.col("__h")
     missing = F.when(ref.isNull(), F.lit("missing_reference")).when(hyp.isNull(), F.lit("missing_hypothesis"))
     missing_status = F.when(ref.isNull(), F.lit("excluded_missing_reference")).when(hyp.isNull(), F.lit("missing_hypothesis"))
@@ -67,10 +72,12 @@ def evaluate_records(records: DataFrame, id_: str, text: str, reference: str, re
         **{m: judged(m, lang == "en", "english_only_metric", m != "detoxify") for m in ENGLISH_ONLY},
     }
     # states and values are columns of their own, so that no expression is generated twice
-    r = r.withColumns({f"__s_{m}": x for m, x in states.items()})
+    r = _once(r.withColumns({f"__s_{m}": x for m, x in states.items()}))
 
     def value(m: str) -> Column:
-        scorer = chrf if m == "chrf" else scorers.get(m)
+        if m == "chrf":
+            return chrf(ref, hyp)
+        scorer = scorers.get(m)
         asked = F.col(f"__s_{m}")["s"] == "scored"
         return F.when(asked, scorer(F.when(asked, ref), F.when(asked, hyp)).cast("double")) if scorer else F.lit(None).cast("double")
 
@@ -83,5 +90,5 @@ def evaluate_records(records: DataFrame, id_: str, text: str, reference: str, re
         (lang == F.col("reference_language")).alias("reference_language_match"),
         script_match(script_bucket(F.col("__t")), script_bucket(hyp)).alias("script_match"),
         ref.isNotNull().alias("reference_available"),
-        F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*metrics.values())).alias("metrics"),
+        F.create_map(*[x for m, v in metrics.items() for x in (F.lit(m), v)]).alias("metrics"),
     )

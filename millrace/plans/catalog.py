@@ -617,8 +617,10 @@ def record_evaluation(t):
     d = t.documents.select("doc_id", "text", "lang", F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("ref"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("hyp"))
     scorers = {"rouge_l": lambda r, h: F.length(r) / 64, "detoxify": lambda r, h: F.when(F.contains(h, F.lit("a")), 0.5).when(h.isNotNull(), 0.25)}
     e = evaluation.evaluate_records(d, "doc_id", "text", "ref", "hyp", "lang", lambda x: F.lit("ENGLISH"), scorers)
-    m = e.select("ID", "language_status", F.explode("metrics").alias("metric", "m"))
-    return m.select("ID", "language_status", "metric", "m.status", "m.reason", F.when(F.col("metric") != "chrf", F.col("m.value")).alias("value"))
+    # an array, not the map: of a map's rows Spark infers a filter that computes all metrics again
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col("metrics")[m].alias("m")) for m in ("chrf", "bertscore", *evaluation.ENGLISH_ONLY)]))
+    m = e.select("ID", "language_status", each.alias("x"))
+    return m.select("ID", "language_status", "x.metric", "x.m.status", "x.m.reason", F.when(F.col("x.metric") != "chrf", F.col("x.m.value")).alias("value"))
 
 
 _GRID = "WITH t(threshold) AS (VALUES (0.25::DOUBLE), (0.5), (0.75)), g AS (SELECT quality = 1 AS gold, (doc_id % 97) / 97.0 AS s FROM labels), c AS (SELECT threshold, count(*) FILTER (gold AND s >= threshold) AS tp, count(*) FILTER (NOT gold AND s >= threshold) AS fp, count(*) FILTER (gold AND s < threshold) AS fn FROM g, t GROUP BY threshold)"
