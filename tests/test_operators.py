@@ -336,3 +336,22 @@ def test_record_evaluation_states(spark):
     plain = {x.ID: x for x in evaluation.evaluate_records(d, "i", "t", "r", "h", "l").collect()}
     assert plain["ok"].language_status == "unavailable" and plain["ok"].metrics["chrf"].value == pytest.approx(0.0)
     assert evaluation.evaluate_records(d.limit(0), "i", "t", "r", "h", "l").collect() == []
+
+
+def test_near_pairs_of_many_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(dedup, "BLOCK", 8)
+    words = [f"word{i * 7919 % 97}" for i in range(97)]
+    texts = [" ".join(words[i // 4 * 3 : i // 4 * 3 + 24]) + " é" * (i % 4) for i in range(64)]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    grams = [Counter(g for w in t.split() for g in dedup.word_grams(w)) for t in texts]
+    df = Counter(g for x in grams for g in x)
+    rows = [{g: n * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, n in x.items()} for x in grams]
+    norm = [math.sqrt(sum(x * x for x in r.values())) for r in rows]
+    score = {(i, j): sum(x * rows[j].get(g, 0) for g, x in rows[i].items()) / norm[i] / norm[j] for j in range(64) for i in range(j)}
+    near = dedup.representative_pairs(d, "i", "t", 0.8)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {(r.prior_index, r.current_index): r.score for r in near.collect()}
+    want = {k: pytest.approx(x) for k, x in score.items() if x >= 0.8}
+    assert len(want) > 64 and got == want
