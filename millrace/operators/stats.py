@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import checkpoint_dir
+
 TOLERANCE = 1e-12
 #: The most differences whose sign assignments are all made, and how many of a larger group go to a task.
 EXACT, SHARE = 16, 4096
@@ -136,13 +138,26 @@ def monte_carlo_sign_permutation(values: list[float], permutations: int = 10_000
 
 
 def benjamini_hochberg(df: DataFrame, p: str, *order: str) -> DataFrame:
-    """q_value: least p * m / rank from this rank on, at most 1; null p stays out of the family (WN7)."""
-    one = Window.partitionBy(F.lit(0))  # a family of tests, not of rows
-    w = one.orderBy(p, *order)
-    tests = df.where(F.col(p).isNotNull()).withColumn("__r", F.row_number().over(w)).withColumn("__m", F.count("*").over(one))
-    raw = F.col(p) * F.col("__m") / F.col("__r")
-    q = F.least(F.lit(1.0), F.min(raw).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return tests.withColumn("q_value", q).drop("__r", "__m").unionByName(df.where(F.col(p).isNull()).withColumn("q_value", F.lit(None).cast("double")))
+    """q_value: least p * m / rank from this rank on, at most 1; null p stays out of the family (WN7).
+
+    Tests are kept in ranges of (p, order). Ranks and least values run within a range; one row a range carries them on,
+    so no task sees the family and no frame is computed anew for each row.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tests = df.where(F.col(p).isNotNull()).repartitionByRange(ranges, p, *order).withColumn("__b", F.spark_partition_id()).checkpoint()
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = tests.groupBy("__b").agg(F.count("*").alias("__n"))
+    starts = starts.select("__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__s"), F.sum("__n").over(Window.partitionBy()).alias("__m"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(p, *order))
+    raw = tests.withColumn("__r", place).join(F.broadcast(starts), "__b").withColumn("__r", F.col("__r") + F.col("__s"))
+    raw = raw.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__r"))
+    later = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    low = raw.groupBy("__b").agg(F.min("__raw").alias("__low")).select("__b", F.min("__low").over(later).alias("__low"))
+    own = F.min("__raw").over(Window.partitionBy("__b").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0))
+    q = raw.withColumn("__own", own).join(F.broadcast(low), "__b").withColumn("q_value", F.least(F.lit(1.0), "__own", "__low"))
+    return q.select(*df.columns, "q_value").unionByName(df.where(F.col(p).isNull()).withColumn("q_value", F.lit(None).cast("double")))
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 1) -> DataFrame:

@@ -355,3 +355,17 @@ def test_near_pairs_of_many_blocks_meet_without_a_shuffle(spark, monkeypatch):
     got = {(r.prior_index, r.current_index): r.score for r in near.collect()}
     want = {k: pytest.approx(x) for k, x in score.items() if x >= 0.8}
     assert len(want) > 64 and got == want
+
+
+def test_benjamini_hochberg_of_many_tests_is_linear(spark):
+    d = [(i, [0.001 * (i % 400), 1.0, float("nan"), None][0 if i % 3 else 1 + i % 7 % 3]) for i in range(2000)]
+    family = sorted(((p, i) for i, p in d if p is not None), key=lambda x: (math.isnan(x[0]), 0 if math.isnan(x[0]) else x[0], x[1]))
+    want, least = {i: None for i, p in d if p is None}, 1.0
+    for r in range(len(family), 0, -1):
+        p, i = family[r - 1]
+        least = min(least, p * len(family) / r) if p == p else least
+        want[i] = least
+    q = stats.benjamini_hochberg(spark.createDataFrame(d, "i int, p double"), "p", "i")
+    assert {r.i: r.q_value for r in q.collect()} == want
+    # a frame that ends at the last row is computed anew for every row
+    assert "currentrow$(), unboundedfollowing" not in q._jdf.queryExecution().executedPlan().toString().lower()
