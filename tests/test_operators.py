@@ -369,3 +369,25 @@ def test_benjamini_hochberg_of_many_tests_is_linear(spark):
     assert {r.i: r.q_value for r in q.collect()} == want
     # a frame that ends at the last row is computed anew for every row
     assert "currentrow$(), unboundedfollowing" not in q._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_lexical_top_gives_on_only_what_may_be_best(spark, monkeypatch):
+    words = ["ant", "bee", "cat", "dog", "eel", "fox", "gnu"]
+    texts = [" ".join(words[(i * j + j) % 7] for j in range(1, 3 + i % 5)) for i in range(300)] + ["ant bee"] * 100 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3).cache()
+    asked = spark.createDataFrame([("p", "ant bee bee"), ("q", "the fox"), ("r", "zebra"), ("s", None)], "q string, t string")
+    plain = {"bm25": retrieval.bm25, "overlap": retrieval.overlap}
+    monkeypatch.setattr(retrieval, "CELLS", 64)
+
+    def best(df):
+        return {(r.query_id, r.candidate_id, r.rank): r.score for r in retrieval.top_k(df.withColumn("score", F.round("score", 9)), 3).collect()}
+
+    top = retrieval.lexical_top(docs, "id", "t", asked, "q", "t", 3)
+    assert top.count() < 200  # of more than a thousand scores
+    want = {b: best(f(docs, "id", "t", asked, "q", "t")) for b, f in plain.items()}
+    assert {b: best(top.where(F.col("branch") == b)) for b in plain} == want
+    monkeypatch.setattr(retrieval, "ASKED", 2)  # more terms than that: by joins
+    joined = retrieval.lexical_top(docs, "id", "t", asked, "q", "t", 3)
+    assert joined.count() > 500 and {b: best(joined.where(F.col("branch") == b)) for b in plain} == want
+    twice = retrieval.lexical_top(docs.unionAll(docs.where("id = 1")), "id", "t", asked, "q", "t", 3)
+    assert twice.count() > 500
