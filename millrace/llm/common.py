@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import importable
+from millrace.session import importable, small_batches
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -72,17 +72,6 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held whole by both sides.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Unless the session has its own choice, send texts to Python in batches of BATCH_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     small_batches(spark)

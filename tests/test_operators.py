@@ -391,3 +391,18 @@ def test_lexical_top_gives_on_only_what_may_be_best(spark, monkeypatch):
     assert joined.count() > 500 and {b: best(joined.where(F.col("branch") == b)) for b in plain} == want
     twice = retrieval.lexical_top(docs.unionAll(docs.where("id = 1")), "id", "t", asked, "q", "t", 3)
     assert twice.count() > 500
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    from millrace.plans import catalog
+
+    spark.createDataFrame([(i, f"é {i % 700}") for i in range(3000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, used in (("10000", "1000"), ("77", "77")):
+            spark.conf.set(key, own)
+            assert rows(catalog.queries()["duplicate_stats"](spark, str(tmp_path))) == [(3000, 700, 2300)]
+            assert spark.conf.get(key) == used
+    finally:
+        spark.conf.set(key, before)
