@@ -406,3 +406,11 @@ def test_texts_go_to_python_in_small_batches(spark, tmp_path):
             assert spark.conf.get(key) == used
     finally:
         spark.conf.set(key, before)
+
+
+def test_record_evaluation_keeps_a_missing_id_null(spark, tmp_path):
+    from millrace.plans import catalog
+
+    spark.createDataFrame([(1, "a text", "en", "s"), (None, "other", None, "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["record_evaluation"](spark, str(tmp_path)).collect()
+    assert {r.ID for r in got} == {"1", None} and len(got) == 10
